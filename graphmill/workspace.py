@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,18 +71,27 @@ def _filesystem(spark: SparkSession, path: str):
 def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: same rows, no lineage.
 
-    The folder is deleted when the driver ends, or earlier with :func:`drop`.
+    The rows are counted on the way (:func:`rows_of`). The folder is deleted when
+    the driver ends, or earlier with :func:`drop`.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/graphmill/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", codec).parquet(path)
     fs, where = _filesystem(spark, path)
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphmill_path = path
+    out._graphmill_rows = seen.get["n"]
     return out
 
 
+def rows_of(df: DataFrame) -> int:
+    """Rows of a cut, as counted when it was written; anything else is counted now."""
+    known = getattr(df, "_graphmill_rows", None)
+    return df.count() if known is None else known
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Delete the folders of cuts that nothing reads any more."""
     for df in tables:
@@ -95,11 +104,13 @@ def drop(*tables: DataFrame | None) -> None:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it was counted to have at most ``limit`` rows.
 
-    ``df`` should be a cut or another cheap relation: counting reads it once.
+    A cut knows its rows; another relation should be cheap, as counting runs it.
     Above the limit the join is left to shuffle, where adaptive execution
     splits skewed partitions.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    known = getattr(df, "_graphmill_rows", None)
+    rows = df.limit(limit + 1).count() if known is None else known
+    return F.broadcast(df) if rows <= limit else df
 
 
 def null_safe_equal(left: DataFrame, right: DataFrame, columns: Iterable[str]) -> Column:
