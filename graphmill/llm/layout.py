@@ -23,7 +23,7 @@ _IDENT = re.compile(r"[^\W\d]\w*")
 _NUMBER = re.compile(r"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?)")
 _STRING = re.compile(r"'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"")
 _TRIPLE = re.compile(r"'''(.*?)'''|\"\"\"(.*?)\"\"\"", re.S)
-_RUN = re.compile(r"[A-Za-z0-9+/=_-]{48,}|(?:\\x[0-9a-fA-F]{2}){12,}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{48,}|(?:\\x[0-9a-fA-F]{2}){12,}")
 _TOP = re.compile(r"(?:async\s+def|def|class)\s+(\w+)")
 _KEYWORDS = frozenset("def return if else elif for in not and or is None True False class import from as while try except with yield lambda assert raise pass break continue global del self item rows".split())
 # A header says that the file itself is program output.
@@ -78,53 +78,66 @@ def code_blocks(text: str) -> list[tuple[str, int]]:
     return [("\n".join(b), len(b)) for b in blocks if not (len(b) == 1 and b[0].startswith("class "))]
 
 
-def _shape(line: str) -> str:
-    """A line without what differs from one row or accessor to the next: strings, numerals, class names, the end of a defined name."""
-    line = re.sub(r"\b(def|class) ([^\W_]*)\w*", r"\1 \2", _STRING.sub("''", line))
-    line = re.sub(r"('',? ?)+", "''", re.sub(r"\b[A-Z]\w*", "N", line))
-    return re.sub(r"\d+", "0", line).strip()
+_ALNUM = bytes(x for x in range(128) if chr(x).isalnum())
+_DEFINED = re.compile(r"\b(def|class) ([^\W_]*)\w*")
+_CLASS = re.compile(r"\b[A-Z]\w*")
+_LITERALS = re.compile(r"(?:'',? ?)+")
+_DIGITS = re.compile(r"\d+")
+_OPERATORS = "=+*/%<>,:;"
+_LOOSE = [b + x for x in "=+*/%<>" for b in " \n"] + [x + b for x in ",:;" for b in " \n"]
+_LITERAL_LINE = re.compile(r"^(?=[^\n]*(?:''|0))(?:[bru]?''|0|None|True|False|[ \t\[\](){},:;+-])+$", re.M)
+_TABLE_ROW = re.compile(r"^[^\n]*(?:[|;\d]|,[^\n]*,)[^\n]*$", re.M)
+
+
+def shapes(bare: str) -> Counter:
+    """Lines of a text whose strings are emptied, without what differs from one row or accessor to the next:
+
+    numerals, class names, repeated strings, and the end of a defined name.
+    """
+    out = _DEFINED.sub(r"\1 \2", bare)
+    out = _LITERALS.sub("''", _CLASS.sub("N", out))
+    return Counter(map(str.strip, _DIGITS.sub("0", out).split("\n")))
 
 
 def statistics(text: str) -> dict:
     """All measures of one text."""
     n = len(text)
-    lines = [x for x in text.split("\n") if x.strip()]
+    lines = [x for x in text.split("\n") if x and not x.isspace()]
     if not lines:
-        return {"n_chars": n, "n_lines": 0, "max_line": 0, "mean_line": 0.0, "space": 0.0, "alnum": 0.0, "number_density": 0.0, "numeric_lines": 0.0, "encoded": 0.0, "literal_lines": 0.0, "tight": 0.0, "short_names": 0.0, "repeat": 0.0, "generated_header": False, "foreign_header": False}
-    longest = max(map(len, lines))
-    spaces = sum(x.isspace() for x in text)
-    alnum = sum(x.isalnum() for x in text)
-    code = _STRING.sub("''", _TRIPLE.sub("", text))
+        return {"n_lines": 0, "max_line": 0, "mean_line": 0.0, "space": 0.0, "alnum": 0.0, "number_density": 0.0, "encoded": 0.0, "literal_lines": 0.0, "tight": 0.0, "short_names": 0.0, "repeat": 0.0, "generated_header": False, "foreign_header": False}
+    many = len(lines)
+    if text.isascii():
+        raw = text.encode()
+        alnum = n - len(raw.translate(None, _ALNUM))
+    else:
+        alnum = sum(map(str.isalnum, text))
+    triple = "'''" in text or '"""' in text
+    bare = _STRING.sub("''", text)
+    code = _STRING.sub("''", _TRIPLE.sub("", text)) if triple else bare
     names = [x for x in _IDENT.findall(code) if x not in _KEYWORDS]
-    operators = len(re.findall(r"[=+*/%<>,:;]", code))
-    loose = len(re.findall(r"[ \n][=+*/%<>]|[,:;][ \n]", code))
-    # Lines that hold nothing but literals: the rows of a table.
-    literal = 0
-    in_triple = False
-    for x in lines:
-        marks = x.count("'''") + x.count('"""')
-        if in_triple:
-            literal += "|" in x or ";" in x or x.count(",") > 1 or bool(re.search(r"\d", x))
-        else:
-            left = _NUMBER.sub("", re.sub(r"[bru]?''", "", _STRING.sub("''", x)))
-            literal += bool(left.strip() != x.strip() and not re.sub(r"[\s\[\](){},:;+-]|None|True|False", "", left))
-        in_triple ^= marks % 2 == 1
-    shapes = Counter(map(_shape, lines))
+    operators = sum(map(code.count, _OPERATORS))
+    numerals = _NUMBER.findall(code)
+    # Lines that hold nothing but literals, the rows of a table, also within one long string.
+    literal = len(_LITERAL_LINE.findall(_NUMBER.sub("0", code) if numerals else code))
+    if triple:
+        literal += sum(len(_TABLE_ROW.findall(x)) for a, b in _TRIPLE.findall(text) if (x := a or b).count("\n") > 8)
+    parts = text.split()
+    encoded = sum(map(len, _RUN.findall(text))) if max(map(len, parts)) >= 48 else 0
+    counted = shapes(bare)
+    del counted[""]
     header = header_lines(text)
     return {
-        "n_chars": n,
-        "n_lines": len(lines),
-        "max_line": longest,
-        "mean_line": sum(map(len, lines)) / len(lines),
-        "space": spaces / n,
+        "n_lines": many,
+        "max_line": max(map(len, lines)),
+        "mean_line": sum(map(len, lines)) / many,
+        "space": 1 - sum(map(len, parts)) / n,
         "alnum": alnum / n,
-        "number_density": sum(map(len, _NUMBER.findall(code))) / n,
-        "numeric_lines": sum(bool(_NUMBER.search(x)) for x in lines) / len(lines),
-        "encoded": sum(map(len, _RUN.findall(text))) / n,
-        "literal_lines": literal / len(lines),
-        "tight": 1 - loose / operators if operators >= 10 else 0.0,
+        "number_density": sum(map(len, numerals)) / n,
+        "encoded": encoded / n,
+        "literal_lines": min(1.0, literal / many),
+        "tight": 1 - sum(map(code.count, _LOOSE)) / operators if operators >= 10 else 0.0,
         "short_names": sum(len(x) <= 2 for x in names) / len(names) if len(names) >= 10 else 0.0,
-        "repeat": sum(k for _, k in shapes.most_common(6)) / len(lines),
-        "generated_header": any(_GENERATED.search(x) for x in header),
-        "foreign_header": any(_FOREIGN.search(x) for x in header) or bool(re.search(r"^__upstream__\s*=", text, re.M)),
+        "repeat": sum(k for _, k in counted.most_common(6)) / many,
+        "generated_header": any(map(_GENERATED.search, header)),
+        "foreign_header": any(map(_FOREIGN.search, header)) or ("__upstream__" in text and bool(re.search(r"^__upstream__\s*=", text, re.M))),
     }

@@ -13,26 +13,41 @@ _INLINE = re.compile(r"`[^`\n]*`")
 # Remarks of the kind "(e.g. 1.2.3)": abbreviations and numbers only.
 _ASIDE = re.compile(r"\((?:e\.g\.|i\.e\.|cf\.|approx\.|sec\.|rev\.|v|[\d.,; ])+\)")
 # Names from code: with underscores, inner capitals, or dots, slashes and brackets between parts.
-_NAME = re.compile(r"\S*(?:\w_\w|_\w+\(|[a-z][A-Z]|\w(?:\.|/|::)\w|\w\(\))\S*")
+_NAME = re.compile(r"\w_|_\w|[a-z][A-Z]|\w(?:\.|/|::)\w|\w\(\)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_ENDS = ".,;:!?()[]\"'“”‘’*"
 
 
 def words(text: str | None) -> list[str]:
     """Words of the running prose of a text, in lower case and in order."""
     if not text:
         return []
-    text = text.replace("\r\n", "\n")
-    text = _FENCE.sub("\n", text)
-    text = _TRACE.sub("\n", text)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n")
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n", text)
+    if "Traceback (" in text:
+        text = _TRACE.sub("\n", text)
     text = _LINE.sub("", text)
-    text = _LINK.sub(" ", text)
-    text = _INLINE.sub(" ", text)
-    for _ in range(4):  # asides within asides
+    if "://" in text or "www." in text or "@" in text:
+        text = _LINK.sub(" ", text)
+    if "`" in text:
+        text = _INLINE.sub(" ", text)
+    while "(" in text:  # asides within asides
         text, n = _ASIDE.subn(" ", text)
         if not n:
             break
-    text = _NAME.sub(" ", text)
-    return _WORD.findall(text.lower())
+    out: list[str] = []
+    for token in text.split():
+        if token.islower() and token.isalpha():
+            out.append(token)
+            continue
+        bare = token.strip(_ENDS)
+        if bare.isalpha() and (bare.islower() or bare[1:].islower() or len(bare) == 1 or bare.isupper()) and not token.endswith("()"):
+            out.append(bare.lower())
+        elif not _NAME.search(token):
+            out.extend(_WORD.findall(token.lower()))
+    return out
 
 
 # Frequent function words by language, to tell English from its neighbours.
@@ -47,16 +62,21 @@ OTHERS = (
 )
 
 
-def is_english(found: list[str]) -> bool:
-    """Whether no other language's function words outnumber the English ones.
+_MARKS = {w: [k for k, language in enumerate((ENGLISH, *OTHERS)) if w in language] for w in frozenset().union(ENGLISH, *OTHERS)}
 
-    A text without function words of any of these languages passes if most of its letters are ASCII,
+
+def is_english(counts: dict[str, int]) -> bool:
+    """Whether, by the counts of a text's words, no other language's function words outnumber the English ones.
+
+    A text without function words of any of these languages passes if most of its words are ASCII,
     as dense technical English may have none.
     """
-    if not found:
+    if not counts:
         return False
-    english = sum(x in ENGLISH for x in found)
-    other = max(sum(x in language for x in found) for language in OTHERS)
-    if english == other == 0:
-        return sum(x.isascii() for x in found) > 0.9 * len(found)
-    return english >= other
+    hits = [0] * (1 + len(OTHERS))
+    for word in _MARKS.keys() & counts.keys():
+        for k in _MARKS[word]:
+            hits[k] += counts[word]
+    if not any(hits):
+        return sum(n for w, n in counts.items() if w.isascii()) > 0.9 * sum(counts.values())
+    return hits[0] >= max(hits[1:])

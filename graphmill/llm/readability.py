@@ -32,7 +32,7 @@ from graphmill.workspace import broadcast_if_small, cut
 BANDS = 3
 
 #: Rounds of alternation, and steps for a document's levels within a round.
-ROUNDS, STEPS = 8, 12
+ROUNDS, STEPS = 4, 6
 
 #: Labelled documents used, at most; beyond, those with the smallest hashes of their ids.
 MAX_LABELS = 50_000
@@ -57,7 +57,7 @@ def prose_words(documents: DataFrame) -> DataFrame:
         for batch in batches:
             found = [prose.words(x.as_py()) for x in batch.column("text")]
             tally = [Counter(x) for x in found]
-            arrays = [batch.column("doc_id"), [len(x) for x in found], [prose.is_english(x) for x in found], [list(x) for x in tally], [list(x.values()) for x in tally]]
+            arrays = [batch.column("doc_id"), [len(x) for x in found], [prose.is_english(x) for x in tally], [list(x) for x in tally], [list(x.values()) for x in tally]]
             yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, k.type) for a, k in zip(arrays, kinds)], schema=kinds)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(extract, schema)
@@ -85,23 +85,31 @@ def _number_words(words: DataFrame) -> tuple[DataFrame, int]:
     return cut(bucketed.select("word", number.cast("int").alias("id"))), n
 
 
-def _levels(ids: np.ndarray, counts: np.ndarray, doc: np.ndarray, n_docs: int, rates: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the bands per document, and the bands of the occurrences, for given word rates (words x bands)."""
-    shares = np.full((n_docs, BANDS), 1 / BANDS)
-    own = rates[ids]
-    weights = np.zeros((len(ids), BANDS))
+def _levels(ids: np.ndarray, counts: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rates: np.ndarray, steps: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Shares of the bands per document, and the bands of the occurrences, for given word rates (words x bands).
+
+    The occurrences of a document stand together, from ``starts``; documents without any are not among them.
+    """
+    own = [rates[:, k].astype(np.float32)[ids] * np.float32(1e3) for k in range(BANDS)]
+    smooth = np.float32(_SMOOTH_DOCUMENT)
+    size = np.add.reduceat(counts, starts) + BANDS * smooth
+    shares = [np.full(len(starts), 1 / BANDS, np.float32)] * BANDS
     for _ in range(steps):
-        weights = shares[doc] * own
-        weights *= (counts / np.maximum(weights.sum(1), 1e-300))[:, None]
-        shares = np.stack([np.bincount(doc, weights[:, k], n_docs) for k in range(BANDS)], 1) + _SMOOTH_DOCUMENT
-        shares /= shares.sum(1, keepdims=True)
+        weights = [np.repeat(p, lengths) * r for p, r in zip(shares, own)]
+        scale = counts / (weights[0] + weights[1] + weights[2] + np.float32(1e-30))
+        for w in weights:
+            w *= scale
+        shares = [(np.add.reduceat(w, starts) + smooth) / size for w in weights]
     return shares, weights
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers and counts of a batch's occurrences, then start and length of the documents that have any, and which these are."""
     ids = batch.column("ids")
     lengths = np.diff(ids.offsets.to_numpy())
-    return ids.flatten().to_numpy(zero_copy_only=False), batch.column("counts").flatten().to_numpy(zero_copy_only=False).astype(float), np.repeat(np.arange(len(batch)), lengths)
+    there = np.flatnonzero(lengths)
+    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1][there]
+    return ids.flatten().to_numpy(zero_copy_only=False), batch.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.float32), starts, lengths[there], there
 
 
 def _rates(sums: np.ndarray) -> np.ndarray:
@@ -119,11 +127,11 @@ def _fit_shared(numbered: DataFrame, start: np.ndarray, rounds: int) -> np.ndarr
         def collect_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(shared.value.shape)
             for batch in batches:
-                if len(batch):
-                    ids, counts, doc = _flat(batch)
-                    _, weights = _levels(ids, counts, doc, len(batch), shared.value, STEPS)
+                ids, counts, starts, lengths, there = _flat(batch)
+                if len(there):
+                    _, weights = _levels(ids, counts, starts, lengths, shared.value, STEPS)
                     for k in range(BANDS):
-                        sums[:, k] += np.bincount(ids, weights[:, k], len(sums))
+                        sums[:, k] += np.bincount(ids, weights[k], len(sums))
             at = np.flatnonzero(sums.sum(1))
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32))] + [pa.array(sums[at, k]) for k in range(BANDS)], names=["id"] + [f"s{k}" for k in range(BANDS)])
 
@@ -141,10 +149,13 @@ def _score_shared(numbered: DataFrame, rates: np.ndarray) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, counts, starts, lengths, there = _flat(batch)
             if len(batch):
-                ids, counts, doc = _flat(batch)
-                shares, _ = _levels(ids, counts, doc, len(batch), shared.value, 3 * STEPS)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")] + [pa.array(shares[:, k]) for k in range(BANDS)], names=["doc_id"] + [f"p{k + 1}" for k in range(BANDS)])
+                shares = [np.full(len(batch), 1 / BANDS) for _ in range(BANDS)]  # documents without a known word
+                if len(there):
+                    for all_, found in zip(shares, _levels(ids, counts, starts, lengths, shared.value, 3 * STEPS)[0]):
+                        all_[there] = found
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")] + [pa.array(shares[k]) for k in range(BANDS)], names=["doc_id"] + [f"p{k + 1}" for k in range(BANDS)])
 
     return numbered.select("doc_id", "ids", "counts").mapInArrow(score, "doc_id bigint, " + ", ".join(f"p{k + 1} double" for k in range(BANDS)))
 
