@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from graphmill.workspace import broadcast_if_small, cut, drop, rows_of
 
+#: A map of vertices (two or three longs a row, some 50 MB as a hash table) is broadcast up to so many rows.
+SLIM_ROWS = 500_000
+
 #: Revisions per 64-bit mask.
 BLOCK = 60
 
@@ -71,7 +74,7 @@ def contract(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         and a vertex of its component, the same for all. No rows for no edges.
     """
     by = list(by)
-    edges = cut(_ordered(edges.dropna(subset=[*by, "a", "b"]).select(*by, "a", "b"), by))
+    edges = cut(edges.dropna(subset=[*by, "a", "b"]).where("a != b").select(*by, "a", "b"))
     maps: list[DataFrame] = []
     turn = 0
     while rows_of(edges):
@@ -79,7 +82,7 @@ def contract(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         first = near.groupBy(*by, "v").agg(F.min("h").alias("h"))
         hooks = cut(first.select(*by, "v", at_place(F.least("h", place(F.col("v"), turn)), turn).alias("r")))
         maps.append(hooks)
-        lookup = broadcast_if_small(hooks)
+        lookup = broadcast_if_small(hooks, SLIM_ROWS)
         smaller = cut(_ordered(_relabel(_relabel(edges, lookup, by, "a"), lookup, by, "b"), by))
         drop(edges)
         edges, turn = smaller, turn + 1
@@ -89,7 +92,7 @@ def contract(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     roots = maps.pop().withColumnRenamed("r", "root")
     while maps:
         hooks = maps.pop()
-        later = broadcast_if_small(roots).select(*by, F.col("v").alias("r"), "root")
+        later = broadcast_if_small(roots, SLIM_ROWS).select(*by, F.col("v").alias("r"), "root")
         longer = cut(hooks.join(later, [*by, "r"], "left").select(*by, "v", F.coalesce("root", "r").alias("root")))
         drop(hooks, roots)
         roots = longer
@@ -135,7 +138,7 @@ def linked_groups(links: DataFrame, group: str, left: str, right: str, node_id:
     identified = identified.join(whole, "block").select("block", "a", "b", "mask", (F.col("mask") == F.col("whole")).alias("everywhere"))
 
     common = contract(identified.where("everywhere"), ["block"])
-    known = broadcast_if_small(common)
+    known = broadcast_if_small(common, SLIM_ROWS)
     rest = identified.where("not everywhere").select("block", "a", "b", "mask")
     for end in ("a", "b"):
         rest = rest.join(known.select("block", F.col("v").alias(end), "root"), ["block", end], "left").withColumn(end, F.coalesce("root", end)).drop("root")
@@ -145,7 +148,7 @@ def linked_groups(links: DataFrame, group: str, left: str, right: str, node_id:
     rooted = cut(nodes.join(known.select("block", F.col("v").alias("id"), "root"), ["block", "id"], "left").select("block", "node", "mask", F.coalesce("root", "id").alias("root")))
     # Groups of the common links are in all snapshots or in none, other nodes by their own mask.
     parts = rooted.groupBy("block", "root").agg(F.min("node").alias("least"), F.bit_or("mask").alias("mask")).select("block", "root", "least", _bits("mask").alias("k"))
-    joined = cut(parts.join(single.select("block", "k", F.col("v").alias("root"), F.col("root").alias("top")), ["block", "k", "root"], "left").withColumn("top", F.coalesce("top", "root")))
+    joined = cut(parts.join(broadcast_if_small(single, SLIM_ROWS).select("block", "k", F.col("v").alias("root"), F.col("root").alias("top")), ["block", "k", "root"], "left").withColumn("top", F.coalesce("top", "root")))
     names = joined.groupBy("block", "k", "top").agg(F.min("least").alias("group_id"))
     of_root = joined.join(names, ["block", "k", "top"]).groupBy("block", "root").agg(F.collect_list(F.struct("k", "group_id")).alias("groups"))
     out = rooted.join(broadcast_if_small(cut(of_root), 20_000), ["block", "root"]).select("block", "node", F.explode("groups").alias("x"))
