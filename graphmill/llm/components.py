@@ -86,9 +86,9 @@ def contract(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         smaller = cut(_ordered(_relabel(_relabel(edges, lookup, by, "a"), lookup, by, "b"), by))
         drop(edges)
         edges, turn = smaller, turn + 1
-    drop(edges)
     if not maps:
         return edges.select(*by, F.col("a").alias("v"), F.col("b").alias("root"))
+    drop(edges)
     roots = maps.pop().withColumnRenamed("r", "root")
     while maps:
         hooks = maps.pop()
