@@ -3,9 +3,10 @@
 Lengths fall into reciprocal classes: class j holds the lengths in
 (C / (j + 1), C / j], and a container of class j takes exactly j of them, so
 containers need no search and workers no word from each other. Each worker
-packs its own hash share of the items. The room that a full class
-container leaves is then filled with items of the last class, the short ones,
-in order of length; short items that are left fill containers of their own.
+packs its own hash share of the items, longest class first. The room that a
+class's fixed count leaves is then filled with the longest items of lower
+classes that fit; items up to C / CLASSES, the last class, fill what room they
+find and then containers of their own.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 #: Lengths up to C / CLASSES are short.
 CLASSES = 12
 
-#: Items that one worker packs; every worker leaves at most ``CLASSES`` containers partly filled.
+#: Items that one worker packs.
 ITEMS_PER_WORKER = 50_000
 
 
@@ -36,49 +37,36 @@ def pieces(items: DataFrame, item: str, length: str, capacity: int) -> DataFrame
 
 
 def _pack(lengths: np.ndarray, capacity: int, classes: int) -> np.ndarray:
-    """Container number of each item; ``lengths`` sorted in falling order."""
-    group = np.minimum(capacity // lengths, classes)
-    out = np.full(len(lengths), -1, dtype=np.int64)
-    used: list[np.ndarray] = []
-    n = 0
-    for j in range(1, classes):
-        at = np.flatnonzero(group == j)
-        if not len(at):
-            continue
-        # Equal counts of items of falling length: neighbours in length share a container.
-        numbers = np.arange(len(at)) // j
-        out[at] = n + numbers
-        used.append(np.bincount(numbers, weights=lengths[at]).astype(np.int64))
-        n += int(numbers[-1]) + 1
-    room = capacity - np.concatenate(used) if used else np.zeros(0, dtype=np.int64)
-    # Short items, longest first, into the containers with the least room that still takes them.
-    short = np.flatnonzero(group == classes)
-    order = np.argsort(room, kind="stable")
-    sorted_room = room[order]
-    waiting = list(short)
-    for k in range(len(order)):
-        left = int(sorted_room[k])
-        if not waiting or left < lengths[waiting[-1]]:
-            continue
-        # The waiting items are sorted by falling length: skip those that are too long, by bisection.
-        while waiting and left >= lengths[waiting[-1]]:
-            lo, hi = 0, len(waiting)
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if lengths[waiting[mid]] <= left:
-                    hi = mid
-                else:
-                    lo = mid + 1
-            chosen = waiting.pop(lo)
-            out[chosen] = order[k]
-            left -= int(lengths[chosen])
-    left = 0
-    for i in waiting:
-        if lengths[i] > left:
-            n += 1
-            left = capacity
-        out[i] = n - 1
-        left -= int(lengths[i])
+    """Container number of each item; every length is between 1 and ``capacity``.
+
+    ``waiting`` has the items by length, ``open_`` a bit per length that is waiting: the longest
+    length that still fits is the highest bit of its lower part.
+    """
+    waiting: dict[int, list[int]] = {}
+    for i, n in enumerate(lengths.tolist()):
+        waiting.setdefault(n, []).append(i)
+    open_ = 0
+    for n in waiting:
+        open_ |= 1 << n
+    out = np.empty(len(lengths), dtype=np.int64)
+    number = -1
+    for j in range(1, classes + 1):
+        shortest = capacity // (j + 1) + 1 if j < classes else 1
+        while (top := open_.bit_length() - 1) >= shortest:
+            number += 1
+            room, taken = capacity, 0
+            while True:
+                # First the class's own items, as many as its number says, then whatever fits longest.
+                n = top if taken < j and top >= shortest else (open_ & ((2 << room) - 1)).bit_length() - 1
+                if n < 1 or n > room:
+                    break
+                same = waiting[n]
+                out[same.pop()] = number
+                if not same:
+                    open_ ^= 1 << n
+                    top = open_.bit_length() - 1
+                room -= n
+                taken += 1
     return out
 
 
