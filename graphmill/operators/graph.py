@@ -134,25 +134,44 @@ def shortest_paths(edges: DataFrame, ends: DataFrame, hops: int) -> DataFrame:
     return arrived
 
 
+def _relabel(edges: DataFrame, hooks: DataFrame) -> DataFrame:
+    for end in ("a", "b"):
+        edges = edges.join(hooks.select("rev", F.col("id").alias(end), "to"), ["rev", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return edges.where("a != b").select("rev", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Weakly connected components: ``rev``, ``id``, ``island`` (its smallest id), over links of every kind.
 
-    Labels sink to neighbours and then jump: a node takes its label's label,
-    which makes the number of rounds logarithmic in the length of chains.
+    In each round every node with a smaller neighbour hooks to the smallest
+    one, chains of hooks are halved until they are flat, and the edges are rewritten
+    between the nodes that are left. Only the smallest node of a component
+    never hooks, so it is what the composed hooks lead to.
     """
-    pairs = links_only(edges).where("src != dst").select("rev", "src", "dst").distinct()
-    both = cut(pairs.unionByName(pairs.select("rev", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = cut(both.groupBy("rev", F.col("src").alias("id")).agg(F.min(F.least("src", "dst")).alias("island")))
-    while True:
-        near = both.join(labels.select("rev", F.col("id").alias("dst"), "island"), ["rev", "dst"]).groupBy("rev", F.col("src").alias("id")).agg(F.min("island").alias("low"))
-        sunk = labels.join(near, ["rev", "id"]).select("rev", "id", F.least("island", "low").alias("island"), F.col("island").alias("was"))
-        jump = labels.select("rev", F.col("id").alias("island"), F.col("island").alias("next"))
-        new = cut(sunk.join(jump, ["rev", "island"], "left").select("rev", "id", F.least("island", "next").alias("island"), (F.least("island", "next") != F.col("was")).alias("moved")))
-        moved = not new.where("moved").isEmpty()
-        drop(labels)
-        labels = new.select("rev", "id", "island")
-        if not moved:
-            return labels
+    pairs = links_only(edges).where("src != dst").select("rev", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    left = first = cut(pairs)
+    maps: list[DataFrame] = []
+    while rows_of(left):
+        hooks = cut(left.groupBy("rev", F.col("b").alias("id")).agg(F.min("a").alias("to")))
+        while True:
+            onward = broadcast_if_small(hooks).select("rev", F.col("id").alias("to"), F.col("to").alias("next"))
+            jumped = cut(hooks.join(onward, ["rev", "to"], "left").select("rev", "id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+            drop(hooks)
+            hooks = jumped
+            if hooks.where("moved").isEmpty():
+                break
+        maps.append(hooks)
+        left = cut(_relabel(left, broadcast_if_small(hooks)))
+    if not maps:
+        return first.select("rev", F.col("a").alias("id"), F.col("b").alias("island"))
+    labels = maps.pop().select("rev", "id", F.col("to").alias("island"))
+    while maps:
+        onward = broadcast_if_small(labels).select("rev", F.col("id").alias("to"), "island")
+        hooks = maps.pop()
+        # What hooked in a later round was no hook's id before: both kinds are kept.
+        labels = cut(hooks.join(onward, ["rev", "to"], "left").select("rev", "id", F.coalesce("island", "to").alias("island")).unionByName(labels.select("rev", "id", "island")))
+    roots = labels.select("rev", F.col("island").alias("id"), "island").distinct()
+    return labels.unionByName(roots)
 
 
 def merges_and_splits(before: DataFrame, after: DataFrame) -> DataFrame:
