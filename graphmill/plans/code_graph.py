@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from graphmill.functions import names
 from graphmill.functions.text import plain_sha
-from graphmill.operators import graph, order, resolve, snapshots
+from graphmill.operators import evaluate, graph, hierarchy, imports, incremental, order, resolve, snapshots, view
+from graphmill.sources import python_source
+from graphmill.streaming import streams
 from graphmill.workspace import broadcast_if_small, cut, table
 
 #: Effects by called name; what the engine knows without a project's own rules.
@@ -461,6 +463,59 @@ def preorder(spark, d):
     return x.join(below.groupBy("rev", "folder").agg(F.max("pos").alias("folder_end")), ["rev", "folder"]).select("rev", "path", "pos", "folder_end")
 
 
+# ---- parser, hierarchy, upkeep, pictures, streams
+
+
+def _parsed(spark, d):
+    return cut(python_source.parse_texts(_t(spark, d, "blob_texts").select(plain_sha(F.col("blob_sha")).alias("blob_sha"), "content")))
+
+
+def parse_definitions(spark, d):
+    """Definitions read from the delivered texts themselves."""
+    return python_source.relation(_parsed(spark, d), "nodes").drop("decorators")
+
+
+def resolve_texts(spark, d):
+    """Links resolved from the delivered texts: parsed once per text, placed in every revision."""
+    parsed = _parsed(spark, d)
+    parts = [python_source.relation(parsed, x) for x in ("nodes", "refs", "imports", "bindings")]
+    return imports.resolve_parsed(_snapshot(spark, d), *parts)[0]
+
+
+def class_ancestors(spark, d):
+    up = graph.links_only(_t(spark, d, "edges")).where("kind = 'INHERITS' and confidence = 'HIGH'").select("rev", F.col("src").alias("sub"), F.col("dst").alias("base"), F.coalesce("callsite_line", F.lit(0)).alias("ord"))
+    return hierarchy.ancestors(up).select("rev", "cls", "anc", "depth")
+
+
+def dirty_paths(spark, d):
+    """What the working tree changes of the revision before it."""
+    x = _snapshot(spark, d).join(_revs(spark, d), "rev")
+    work = cut(x.where("rev = 'WORKTREE'"))
+    head = x.join(work.select((F.col("idx") - 1).alias("idx")).distinct(), "idx", "left_semi")
+    return incremental.dirty_paths(head, work)
+
+
+def treemap_layout(spark, d):
+    """Rectangles of the folders and files of every revision, by lines."""
+    boxes = view.boxes(_sizes(spark, d).select("rev", "path", F.col("lines").alias("weight")))
+    return view.treemap(boxes).select("rev", "box", *[F.bround(c).cast("long").alias(c) for c in "xywh"])
+
+
+def bootstrap_ci(spark, d):
+    """How many more callers observation adds to symbols, per revision, with an interval."""
+    edges = graph.links_only(_t(spark, d, "edges")).where("kind = 'CALLS'").groupBy("rev", "src", "dst").agg(F.bool_or(F.col("provenance") == "static").alias("static")).groupBy("rev", "dst").agg(F.count_if("static").alias("a"), F.count(F.lit(1)).alias("b"))
+    return evaluate.paired_bootstrap(edges.select(F.col("rev").alias("name"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")), resamples=1_000)
+
+
+def event_windows(spark, d):
+    return streams.event_windows(_t(spark, d, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def user_sessions(spark, d):
+    x = streams.user_sessions(_t(spark, d, "events"))
+    return x.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n", F.round("total", 4).alias("total"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -468,6 +523,7 @@ QUERIES = {
         reference_owners, module_local, longest_prefix, last_segment_index, cascade, unresolved_pivot, unknown_rows, reference_ratio, hub_edges, containment_division,
         edge_collapse, edge_argmin, fan_in, salience_score, view_edges, override_pairs, impact_hops, impact_truncated, impact_ranked, impact_summary, direct_effects, glob_best_match, widest_path_effects, effect_summary,
         shortest_path, components, islands_summary, island_merge_split, test_only_symbols, token_scan, snapshot_diff, move_pairing, history_steps, trace_reconcile, trace_stale, score_recall, fan_in_quartiles, lines_rollup, source_budget, preorder,
+        parse_definitions, resolve_texts, class_ancestors, dirty_paths, treemap_layout, bootstrap_ci, event_windows, user_sessions,
     )
 }
 

@@ -205,5 +205,14 @@ def _late() -> dict[str, str]:
             w AS (SELECT rev, id, effect, rank FROM own UNION SELECT c.rev, c.src, w.effect, least(w.rank, c.rank) FROM w JOIN calls c ON c.rev = w.rev AND c.dst = w.id),
             best AS (SELECT w.rev, w.id, w.effect, coalesce(any_value(own.rank), max(w.rank)) AS rank, any_value(own.rank) IS NOT NULL AS direct FROM w LEFT JOIN own USING (rev, id, effect) GROUP BY ALL)""")
         + " SELECT * FROM best",
+        "class_ancestors": f"""WITH RECURSIVE {_LINKS}, up AS (SELECT DISTINCT rev, src AS sub, dst AS base FROM l WHERE kind = 'INHERITS' AND confidence = 'HIGH' AND src <> dst),
+            a(rev, cls, anc, depth) USING KEY (rev, cls, anc) AS (SELECT rev, c, c, 0 FROM (SELECT rev, sub AS c FROM up UNION SELECT rev, base FROM up) UNION
+                SELECT DISTINCT a.rev, a.cls, up.base, a.depth + 1 FROM a JOIN up ON up.rev = a.rev AND up.sub = a.anc WHERE (a.rev, a.cls, up.base) NOT IN (SELECT (rev, cls, anc) FROM recurring.a))
+            SELECT * FROM a""",
+        "dirty_paths": f"""WITH {_TREE}, n AS (SELECT * FROM snap JOIN revs USING (rev)), w AS (SELECT * FROM n WHERE rev = 'WORKTREE'), h AS (SELECT * FROM n WHERE idx = (SELECT max(idx) - 1 FROM w))
+            SELECT coalesce(w.path, h.path) AS path, CASE WHEN h.path IS NULL THEN 'added' WHEN w.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM h FULL JOIN w ON w.path = h.path WHERE h.sha IS DISTINCT FROM w.sha""",
+        "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL",
+        "user_sessions": """WITH g AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true)::INT AS begins FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+            SELECT user_id, min(ts) AS session_start, count(*) AS n, round(sum(value), 4) AS total FROM n GROUP BY user_id, k""",
         "effect_summary": f"{wide} SELECT rev, effect, rank, count(*) AS n, count(*) FILTER (direct) AS n_direct, list_position({list(SEVERITY)}, effect) - 1 AS severity FROM best GROUP BY rev, effect, rank",
     }
