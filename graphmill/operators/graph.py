@@ -111,6 +111,31 @@ def widest_effects(edges: DataFrame, direct: DataFrame) -> DataFrame:
     return marked.select("rev", "id", "effect", F.coalesce("rank", "wide").alias("rank"), F.col("rank").isNotNull().alias("direct"))
 
 
+def effect_witnesses(edges: DataFrame, direct: DataFrame) -> DataFrame:
+    """How each effect of :func:`widest_effects` reaches a node: fewest calls at its tier or above to a direct effect of that tier or above.
+
+    :returns: ``rev``, ``id``, ``effect``, ``rank``, ``hops`` (0 for a direct effect), ``next``: the smallest id among the
+        first steps of such ways, null for a direct effect. Following ``next`` gives the whole chain.
+
+    All tiers advance together, one level of calls at a time.
+    """
+    calls = cut(collapse_edges(edges.where("kind = 'CALLS'")).where("src != dst").select("rev", "src", "dst", F.col("rank").alias("r")))
+    own = direct.groupBy("rev", "id", "effect").agg(F.max("rank").cast("int").alias("rank"))
+    level = cut(own.select("rev", "effect", "id", F.explode(F.sequence(F.lit(0), F.col("rank"))).alias("tier"), F.lit(None).cast("string").alias("next"), F.lit(0).alias("hops")))
+    found = level
+    hops = 0
+    while rows_of(level):
+        hops += 1
+        step = calls.join(broadcast_if_small(level).select("rev", "effect", "tier", F.col("id").alias("dst")), ["rev", "dst"]).where("r >= tier")
+        near = step.groupBy("rev", "effect", "tier", F.col("src").alias("id")).agg(F.min("dst").alias("next"))
+        level = cut(near.join(found, ["rev", "effect", "tier", "id"], "left_anti").select("rev", "effect", "id", "tier", "next", F.lit(hops).alias("hops")))
+        found = cut(found.unionByName(level)) if rows_of(level) else found
+    # The strongest tier that reaches a node is the tier of its effect; a direct effect is its own, whatever else arrives.
+    held = found.join(own.withColumnRenamed("rank", "own"), ["rev", "id", "effect"], "left")
+    best = held.where("own is null or tier = own").groupBy("rev", "id", "effect").agg(F.max(F.struct("tier", "hops", "next")).alias("x"))
+    return best.select("rev", "id", "effect", F.col("x.tier").alias("rank"), "x.hops", "x.next")
+
+
 def shortest_paths(edges: DataFrame, ends: DataFrame, hops: int) -> DataFrame:
     """Per (``rev``, ``start``, ``goal``) the shortest path of at most ``hops`` links, then the strongest, then the first by its node ids.
 

@@ -300,6 +300,43 @@ def widest_path_effects(spark, d):
     return graph.widest_effects(_t(spark, d, "edges"), direct_effects(spark, d))
 
 
+def effect_witness(spark, d):
+    """The way every effect takes, by its next step."""
+    return graph.effect_witnesses(_t(spark, d, "edges"), direct_effects(spark, d))
+
+
+def _with_hubs(spark, d):
+    """Links and the ambiguous calls through hubs, factorised; hubs are named ``*name``."""
+    hubs = hub_edges(spark, d).select("rev", "src", "dst", F.lit("CALLS").alias("kind"), F.lit("LOW").alias("confidence"), F.lit("static").alias("provenance"))
+    return cut(_t(spark, d, "edges").select("rev", "src", "dst", "kind", "confidence", "provenance").unionByName(hubs))
+
+
+def effects_with_hubs(spark, d):
+    """Effects that may also come through ambiguous names, weak then."""
+    return graph.widest_effects(_with_hubs(spark, d), direct_effects(spark, d)).where("not startswith(id, '*')")
+
+
+def islands_with_hubs(spark, d):
+    """Islands in which ambiguous names connect as well, without the hubs themselves."""
+    x = graph.connected(_with_hubs(spark, d)).where("not startswith(id, '*')")
+    least = x.groupBy("rev", "island").agg(F.min("id").alias("label"))
+    return x.join(least, ["rev", "island"]).select("rev", "id", F.col("label").alias("island"))
+
+
+def symbol_history(spark, d):
+    """What happened to each symbol in each revision: its body, links it made or lost, links to it that came or went."""
+    revs = _revs(spark, d)
+    last = revs.agg(F.max("idx")).first()[0] or 0
+    bodies = _symbols(spark, d).where("name_binding = 'live'").join(revs, "rev").groupBy("id", "idx").agg(F.max("body_hash").alias("body_hash"))
+    body = snapshots.change_events(snapshots.validity_intervals(bodies, ["id"], "body_hash"), ["id"], "body_hash", last).where("change = 'changed'")
+    strong = graph.links_only(_t(spark, d, "edges")).where("confidence in ('MEDIUM', 'HIGH')").join(revs, "rev").select("src", "dst", "kind", "idx").distinct().withColumn("state", F.lit(1))
+    links = snapshots.change_events(snapshots.validity_intervals(strong, ["src", "dst", "kind"], "state"), ["src", "dst", "kind"], "state", last)
+    ends = links.select("idx", F.explode(F.array(F.struct(F.col("src").alias("id"), F.concat(F.lit("calls_"), "change").alias("what")), F.struct(F.col("dst").alias("id"), F.concat(F.lit("dependents_"), "change").alias("what")))).alias("x")).select("idx", "x.id", "x.what")
+    all_ = ends.unionByName(body.select("idx", "id", F.lit("body").alias("what")))
+    counted = all_.groupBy("idx", "id").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("body", "calls_added", "calls_removed", "dependents_added", "dependents_removed")])
+    return counted.join(revs, "idx").drop("idx")
+
+
 def effect_summary(spark, d):
     """Symbols per effect and tier, worst effects first by number."""
     x = widest_path_effects(spark, d).groupBy("rev", "effect", "rank").agg(F.count(F.lit(1)).alias("n"), F.count_if("direct").alias("n_direct"))
@@ -521,7 +558,7 @@ QUERIES = {
     for f in (
         tree_snapshot, tree_overlay, content_address, blob_dedupe, parse_cache_antijoin, gc_removed, symbols, index_stats, path_modules, name_parts, absolute_imports, symbol_lookup,
         reference_owners, module_local, longest_prefix, last_segment_index, cascade, unresolved_pivot, unknown_rows, reference_ratio, hub_edges, containment_division,
-        edge_collapse, edge_argmin, fan_in, salience_score, view_edges, override_pairs, impact_hops, impact_truncated, impact_ranked, impact_summary, direct_effects, glob_best_match, widest_path_effects, effect_summary,
+        edge_collapse, edge_argmin, fan_in, salience_score, view_edges, override_pairs, impact_hops, impact_truncated, impact_ranked, impact_summary, direct_effects, glob_best_match, widest_path_effects, effect_summary, effect_witness, effects_with_hubs, islands_with_hubs, symbol_history,
         shortest_path, components, islands_summary, island_merge_split, test_only_symbols, token_scan, snapshot_diff, move_pairing, history_steps, trace_reconcile, trace_stale, score_recall, fan_in_quartiles, lines_rollup, source_budget, preorder,
         parse_definitions, resolve_texts, class_ancestors, dirty_paths, treemap_layout, bootstrap_ci, event_windows, user_sessions,
     )

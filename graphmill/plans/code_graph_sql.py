@@ -205,6 +205,22 @@ def _late() -> dict[str, str]:
             w AS (SELECT rev, id, effect, rank FROM own UNION SELECT c.rev, c.src, w.effect, least(w.rank, c.rank) FROM w JOIN calls c ON c.rev = w.rev AND c.dst = w.id),
             best AS (SELECT w.rev, w.id, w.effect, coalesce(any_value(own.rank), max(w.rank)) AS rank, any_value(own.rank) IS NOT NULL AS direct FROM w LEFT JOIN own USING (rev, id, effect) GROUP BY ALL)""")
         + " SELECT * FROM best",
+        "effect_witness": f"""WITH RECURSIVE {_TREE}, {_REFS}, {direct}, {_LINKS}, calls AS (SELECT rev, src, dst, max(rank) AS r FROM l WHERE kind = 'CALLS' AND src <> dst GROUP BY ALL HAVING max(rank) IS NOT NULL), own AS (SELECT rev, id, effect, max(rank) AS own FROM direct GROUP BY ALL),
+            f(rev, effect, tier, id, hops) USING KEY (rev, effect, tier, id) AS (SELECT rev, effect, t, id, 0 FROM own, range(3) x(t) WHERE t <= own UNION
+                SELECT DISTINCT f.rev, f.effect, f.tier, c.src, f.hops + 1 FROM f JOIN calls c ON c.rev = f.rev AND c.dst = f.id AND c.r >= f.tier WHERE (f.rev, f.effect, f.tier, c.src) NOT IN (SELECT (rev, effect, tier, id) FROM recurring.f)),
+            b AS (SELECT f.* FROM f LEFT JOIN own USING (rev, id, effect) WHERE own IS NULL OR tier = own QUALIFY row_number() OVER (PARTITION BY rev, id, effect ORDER BY tier DESC) = 1)
+            SELECT b.rev, b.id, b.effect, b.tier AS rank, b.hops, min(n.id) AS next FROM b LEFT JOIN calls c ON c.rev = b.rev AND c.src = b.id AND c.r >= b.tier AND b.hops > 0
+            LEFT JOIN f n ON n.rev = c.rev AND n.id = c.dst AND n.effect = b.effect AND n.tier = b.tier AND n.hops = b.hops - 1 GROUP BY ALL""",
+        "effects_with_hubs": (hubs := f"""WITH RECURSIVE {_RESOLVED}, {direct}, {_LINKS}, o AS (SELECT DISTINCT rev, src, regexp_extract(name, '[^.]*$') AS hub FROM resolved WHERE reason = 'ambiguous'),
+            hub AS (SELECT rev, src, '*' || hub AS dst FROM o UNION ALL SELECT DISTINCT rev, '*' || regexp_extract(qualname, '[^.]*$'), id FROM symbols WHERE name_binding = 'live' AND kind <> 'module' AND (rev, regexp_extract(qualname, '[^.]*$')) IN (SELECT (rev, hub) FROM o)),
+            calls AS (SELECT rev, src, dst, max(rank) AS rank FROM (SELECT rev, src, dst, rank FROM l WHERE kind = 'CALLS' UNION ALL SELECT rev, src, dst, 0 FROM hub) WHERE src <> dst GROUP BY ALL HAVING max(rank) IS NOT NULL), own AS (SELECT rev, id, effect, max(rank) AS rank FROM direct GROUP BY ALL)""")
+        + """, w AS (SELECT rev, id, effect, rank FROM own UNION SELECT c.rev, c.src, w.effect, least(w.rank, c.rank) FROM w JOIN calls c ON c.rev = w.rev AND c.dst = w.id)
+            SELECT w.rev, w.id, w.effect, coalesce(any_value(own.rank), max(w.rank)) AS rank, any_value(own.rank) IS NOT NULL AS direct FROM w LEFT JOIN own USING (rev, id, effect) WHERE NOT starts_with(w.id, '*') GROUP BY ALL""",
+        "islands_with_hubs": hubs + f""", all_l AS (SELECT rev, src, dst FROM l UNION ALL SELECT rev, src, dst FROM hub), {_SYM.replace("FROM l ", "FROM all_l ")}, {_CC}
+            SELECT rev, id, min(id) OVER (PARTITION BY rev, island) AS island FROM cc WHERE NOT starts_with(id, '*')""",
+        "symbol_history": f"""WITH {_STATE}, bd AS (SELECT idx, item, '' AS target, content.b AS content FROM content), ln AS (SELECT idx, src AS item, dst || '|' || kind AS target, 1 AS content FROM strong JOIN revs USING (rev)), be AS ({_diff('bd', 'body')}), le AS ({_diff('ln', 'edges')}),
+            e AS (SELECT idx, item AS id, 'body' AS what FROM be WHERE change = 'changed' UNION ALL SELECT idx, item, 'calls_' || change FROM le UNION ALL SELECT idx, string_split(target, '|')[1], 'dependents_' || change FROM le)
+            SELECT rev, id, {", ".join(f"count(*) FILTER (what = '{w}') AS {w}" for w in ("body", "calls_added", "calls_removed", "dependents_added", "dependents_removed"))} FROM e JOIN revs USING (idx) GROUP BY rev, id""",
         "class_ancestors": f"""WITH RECURSIVE {_LINKS}, up AS (SELECT DISTINCT rev, src AS sub, dst AS base FROM l WHERE kind = 'INHERITS' AND confidence = 'HIGH' AND src <> dst),
             a(rev, cls, anc, depth) USING KEY (rev, cls, anc) AS (SELECT rev, c, c, 0 FROM (SELECT rev, sub AS c FROM up UNION SELECT rev, base FROM up) UNION
                 SELECT DISTINCT a.rev, a.cls, up.base, a.depth + 1 FROM a JOIN up ON up.rev = a.rev AND up.sub = a.anc WHERE (a.rev, a.cls, up.base) NOT IN (SELECT (rev, cls, anc) FROM recurring.a))
