@@ -82,7 +82,7 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphmill_path = path
-    out._graphmill_rows = seen.get["n"]
+    out._graphmill_rows = seen.get.get("n")  # missing if the plan was found to be empty before it ran
     return out
 
 
