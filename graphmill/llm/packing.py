@@ -26,14 +26,16 @@ ITEMS_PER_WORKER = 50_000
 
 
 def pieces(items: DataFrame, item: str, length: str, capacity: int) -> DataFrame:
-    """``item``, ``piece``, ``start``, ``length``: items of positive length, the ones longer than ``capacity`` cut into pieces of it and a rest.
+    """``item``, ``copy``, ``piece``, ``start``, ``length``: items of positive length, the ones longer than ``capacity`` cut into pieces of it and a rest.
 
-    Null lengths and lengths of 0 or less take no room and are left out.
+    Null lengths and lengths of 0 or less take no room and are left out. ``copy`` numbers equal items, which
+    spreads an item that occurs very often.
     """
-    n = F.col(length).cast("long")
-    starts = F.posexplode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(capacity).cast("long")))
-    cutted = items.where(F.col(length) > 0).select(F.col(item).alias("item"), n.alias("n"), starts.alias("piece", "start"))
-    return cutted.select("item", "piece", "start", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("start")).alias("length"))
+    counted = items.where(F.col(length) > 0).groupBy(F.col(item).alias("item"), F.col(length).cast("long").alias("n")).agg(F.count(F.lit(1)).alias("copies"))
+    copies = counted.select("item", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    starts = F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(capacity).cast("long")))
+    cutted = copies.select("item", "copy", "n", starts.alias("piece", "start"))
+    return cutted.select("item", "copy", "piece", "start", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("start")).alias("length"))
 
 
 def _pack(lengths: np.ndarray, capacity: int, classes: int) -> np.ndarray:
@@ -85,12 +87,12 @@ def harmonic_containers(items: DataFrame, item: str, length: str, capacity: int,
     schema = f"container_id string, item {kinds['item']}, piece int, start bigint, length bigint"
 
     def pack(share: pd.DataFrame) -> pd.DataFrame:
-        share = share.sort_values(["length", "item", "piece"], ascending=[False, True, True], kind="stable")
+        share = share.sort_values(["length", "item", "piece", "copy"], ascending=[False, True, True, True], kind="stable")
         numbers = _pack(share["length"].to_numpy(np.int64), capacity, classes)
         prefix = f"{int(share['share'].iloc[0])}-"
         return pd.DataFrame({"container_id": [prefix + str(x) for x in numbers], "item": share["item"], "piece": share["piece"], "start": share["start"], "length": share["length"]})
 
-    shared = parts.withColumn("share", F.pmod(F.xxhash64("item", "piece"), F.lit(workers)).cast("int"))
+    shared = parts.withColumn("share", F.pmod(F.xxhash64("item", "piece", "copy"), F.lit(workers)).cast("int"))
     return shared.groupBy("share").applyInPandas(pack, schema)
 
 
