@@ -343,15 +343,63 @@ def effect_summary(spark, d):
     return x.withColumn("severity", names.position(F.col("effect"), names.SEVERITY))
 
 
+def _path_ends(edges):
+    out = graph.links_only(edges).select("rev", "src", "dst").distinct().groupBy("rev", "src").agg(F.count(F.lit(1)).alias("n")).groupBy("rev").agg(F.max_by("src", F.struct("n", "src")).alias("start"))
+    goals = graph.budget(graph.fan_in(edges), ["rev"], [F.col("fan_in").desc(), F.col("id")], 10).select("rev", F.col("id").alias("goal"))
+    return out.join(goals, "rev")
+
+
 def shortest_path(spark, d):
     """From the symbol with the most targets to the ten most called symbols of its revision."""
     edges = _t(spark, d, "edges")
-    out = graph.links_only(edges).select("rev", "src", "dst").distinct().groupBy("rev", "src").agg(F.count(F.lit(1)).alias("n")).groupBy("rev").agg(F.max_by("src", F.struct("n", "src")).alias("start"))
-    goals = graph.budget(graph.fan_in(edges), ["rev"], [F.col("fan_in").desc(), F.col("id")], 10).select("rev", F.col("id").alias("goal"))
-    found = graph.shortest_paths(edges, out.join(goals, "rev"), 6)
+    found = graph.shortest_paths(edges, _path_ends(edges), 6)
     return found.select("rev", "start", "goal", "hops", "rank", F.array_join("nodes", " > ").alias("path"))
 
 
+def path_negative(spark, d):
+    """Why there is no way of two links that are not weak: it takes more links, or weak ones, or the islands differ, or nothing leads there.
+
+    Longer ways are looked for up to eight links.
+    """
+    edges = _t(spark, d, "edges")
+    ends = cut(_path_ends(edges))
+    strong = cut(graph.links_only(edges).where("confidence in ('MEDIUM', 'HIGH')").select("rev", "src", "dst", "kind", "confidence", "provenance"))
+    key = ["rev", "start", "goal"]
+    sure = cut(graph.shortest_paths(strong, ends, 8).select(*key, F.col("hops").alias("needed")))
+    weak = cut(graph.shortest_paths(edges, ends, 8).select(*key, F.col("hops").alias("with_weak")))
+    islands = cut(graph.connected(edges))
+    x = ends.join(sure, key, "left").join(weak, key, "left").where("needed is null or needed > 2")
+    for end in ("start", "goal"):
+        x = x.join(islands.select("rev", F.col("id").alias(end), F.col("island").alias(f"{end}_island")), ["rev", end], "left")
+    reason = F.when(F.col("needed").isNotNull(), "hop_limit").when(F.col("with_weak").isNotNull(), "low_confidence").when(~F.col("start_island").eqNullSafe(F.col("goal_island")), "other_island").otherwise("no_path")
+    return x.select(*key, reason.alias("reason"), F.coalesce("needed", "with_weak").alias("hops"))
+
+
+def island_mechanisms(spark, d):
+    """What else may call into each island: entry points, dunders, decorators, tests, overriding methods, nested functions, observed use."""
+    x = _symbols(spark, d).where("kind != 'module'")
+    decorated = _t(spark, d, "blob_nodes").where(F.size("decorators") > 0).select(plain_sha(F.col("blob_sha")).alias("blob_sha"), "qualname").distinct()
+    marked = _snapshot(spark, d).join(decorated, "blob_sha").select("rev", "path", "qualname", F.lit(True).alias("d"))
+    over = override_pairs(spark, d).select("rev", F.concat("sub", F.lit("."), "m").alias("id"), F.lit(True).alias("o")).distinct()
+    ran = graph.links_only(_t(spark, d, "edges")).where("provenance = 'runtime'").select("rev", F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("t", F.lit(True))
+    name = names.last_segment(F.col("qualname"))
+    flags = {
+        "entry": F.col("qualname") == "main",
+        "dunder": names.is_dunder(name),
+        "decorator": F.coalesce("d", F.lit(False)),
+        "test": names.is_test_entry(F.col("path"), F.col("qualname")),
+        "override": F.coalesce("o", F.lit(False)),
+        "nested": F.contains("qualname", F.lit("<locals>")),
+        "traced": F.coalesce("t", F.lit(False)),
+    }
+    x = x.join(marked, ["rev", "path", "qualname"], "left").join(over, ["rev", "id"], "left").join(ran, ["rev", "id"], "left")
+    x = x.groupBy("rev", "id").agg(*[F.bool_or(v).alias(k) for k, v in flags.items()])
+    placed = x.join(graph.connected(_t(spark, d, "edges")), ["rev", "id"], "left").groupBy("rev", F.coalesce("island", "id").alias("island"))
+    summed = placed.agg(F.count(F.lit(1)).alias("n"), *[F.bool_or(k).alias(k) for k in flags])
+    listed = F.array_compact(F.array(*[F.when(F.col(k), k) for k in flags]))
+    return summed.select("rev", "island", "n", F.array_join(listed, " ").alias("mechanisms"), (F.size(listed) > 0).alias("explained"))
+
+
 def components(spark, d):
     return graph.connected(_t(spark, d, "edges"))
 
@@ -559,7 +607,7 @@ QUERIES = {
         tree_snapshot, tree_overlay, content_address, blob_dedupe, parse_cache_antijoin, gc_removed, symbols, index_stats, path_modules, name_parts, absolute_imports, symbol_lookup,
         reference_owners, module_local, longest_prefix, last_segment_index, cascade, unresolved_pivot, unknown_rows, reference_ratio, hub_edges, containment_division,
         edge_collapse, edge_argmin, fan_in, salience_score, view_edges, override_pairs, impact_hops, impact_truncated, impact_ranked, impact_summary, direct_effects, glob_best_match, widest_path_effects, effect_summary, effect_witness, effects_with_hubs, islands_with_hubs, symbol_history,
-        shortest_path, components, islands_summary, island_merge_split, test_only_symbols, token_scan, snapshot_diff, move_pairing, history_steps, trace_reconcile, trace_stale, score_recall, fan_in_quartiles, lines_rollup, source_budget, preorder,
+        shortest_path, path_negative, island_mechanisms, components, islands_summary, island_merge_split, test_only_symbols, token_scan, snapshot_diff, move_pairing, history_steps, trace_reconcile, trace_stale, score_recall, fan_in_quartiles, lines_rollup, source_budget, preorder,
         parse_definitions, resolve_texts, class_ancestors, dirty_paths, treemap_layout, bootstrap_ci, event_windows, user_sessions,
     )
 }

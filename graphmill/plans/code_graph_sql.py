@@ -79,15 +79,19 @@ def _levels() -> str:
     return out
 
 
-def _paths(hops: int) -> str:
-    out = "p0 AS (SELECT DISTINCT rev, start, start AS id, 2 AS rank, [start] AS nodes FROM ends)"
+def _paths(hops: int, p: str = "p", pairs: str = "pairs") -> str:
+    out = f"{p}0 AS (SELECT DISTINCT rev, start, start AS id, 2 AS rank, [start] AS nodes FROM ends)"
     for k in range(1, hops + 1):
-        seen = " UNION ALL ".join(f"SELECT rev, start, id FROM p{i}" for i in range(k))
-        out += f""", y{k} AS (SELECT p.rev, x.start, p.dst AS id, min({{'w': -least(x.rank, p.rank), 'n': list_append(x.nodes, p.dst)}}) AS o FROM pairs p JOIN p{k - 1} x ON x.rev = p.rev AND x.id = p.src GROUP BY ALL),
-        p{k} AS (SELECT rev, start, id, -o.w AS rank, o.n AS nodes FROM y{k} ANTI JOIN ({seen}) USING (rev, start, id))"""
+        seen = " UNION ALL ".join(f"SELECT rev, start, id FROM {p}{i}" for i in range(k))
+        out += f""", {p}y{k} AS (SELECT p.rev, x.start, p.dst AS id, min({{'w': -least(x.rank, p.rank), 'n': list_append(x.nodes, p.dst)}}) AS o FROM {pairs} p JOIN {p}{k - 1} x ON x.rev = p.rev AND x.id = p.src GROUP BY ALL),
+        {p}{k} AS (SELECT rev, start, id, -o.w AS rank, o.n AS nodes FROM {p}y{k} ANTI JOIN ({seen}) USING (rev, start, id))"""
     return out
 
 
+_ENDS = """best AS (SELECT rev, src AS start FROM (SELECT rev, src, count(DISTINCT dst) AS n FROM l GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY rev ORDER BY n DESC, src DESC) = 1),
+        ends AS (SELECT rev, start, id AS goal FROM best JOIN (SELECT * FROM fan QUALIFY row_number() OVER (PARTITION BY rev ORDER BY fan_in DESC, id) <= 10) USING (rev))"""
+
+
 _REACHED = f"{_PAIRS}, {_HUBS}, {_levels()}, reached AS ({' UNION ALL '.join(f'SELECT rev, start, id, {k} AS hop, rank, observed FROM l{k}' for k in (1, 2, 3))})"
 _SALIENCE = r"known AS (SELECT rev, id, coalesce(fan_in, 0) AS fan_in, round(CASE WHEN coalesce(fan_in, 0) = 0 THEN 0.5 ELSE 0 END + CASE WHEN starts_with(regexp_extract(qualname, '[^.]*$'), '_') THEN 0 ELSE 0.3 END + least(coalesce(fan_in, 0), 10) / 20, 6) AS salience FROM symbols LEFT JOIN fan USING (rev, id))"
 _IMPACT = rf"""{_SYMBOLS}, {_REACHED}, {_SALIENCE},
@@ -156,10 +160,22 @@ ORACLES = {
     "impact_ranked": f"""WITH {_IMPACT}, s AS (SELECT *, CASE WHEN rank = 0 THEN 'low_confidence' WHEN test THEN 'tests' ELSE 'dependents' END AS section FROM impact)
         SELECT rev, section, row_number() OVER (PARTITION BY rev, rank = 0 ORDER BY section, score DESC, id) AS place, id, hop, rank, score FROM s QUALIFY place <= CASE WHEN rank = 0 THEN 5 ELSE 40 END""",
     "impact_summary": f"WITH {_IMPACT} SELECT rev, count(*) FILTER (rank > 0) AS symbols, count(DISTINCT path) FILTER (rank > 0) AS modules, count(*) FILTER (rank > 0 AND fan_in = 0) AS entry_points, count(*) FILTER (rank = 0) AS hidden_low FROM impact GROUP BY ALL",
-    "shortest_path": f"""WITH {_PAIRS}, {_FAN}, best AS (SELECT rev, src AS start FROM (SELECT rev, src, count(DISTINCT dst) AS n FROM l GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY rev ORDER BY n DESC, src DESC) = 1),
-        ends AS (SELECT rev, start, id AS goal FROM best JOIN (SELECT * FROM fan QUALIFY row_number() OVER (PARTITION BY rev ORDER BY fan_in DESC, id) <= 10) USING (rev)),
+    "shortest_path": f"""WITH {_PAIRS}, {_FAN}, {_ENDS},
         {_paths(6)}, found AS ({" UNION ALL ".join(f"SELECT rev, start, id AS goal, {k} AS hops, rank, nodes FROM p{k}" for k in range(7))})
         SELECT rev, start, goal, hops, rank, array_to_string(nodes, ' > ') AS path FROM found SEMI JOIN ends USING (rev, start, goal)""",
+    "path_negative": f"""WITH RECURSIVE {_PAIRS}, {_FAN}, {_ENDS}, sp AS (SELECT rev, src, dst, max(rank) AS rank FROM l WHERE rank > 0 GROUP BY ALL), {_paths(8, "s", "sp")}, {_paths(8, "w")},
+        sf AS ({" UNION ALL ".join(f"SELECT rev, start, id AS goal, {k} AS hops FROM s{k}" for k in range(9))}), wf AS ({" UNION ALL ".join(f"SELECT rev, start, id AS goal, {k} AS hops FROM w{k}" for k in range(9))}), {_SYM}, {_CC}
+        SELECT e.rev, e.start, e.goal, CASE WHEN sf.hops IS NOT NULL THEN 'hop_limit' WHEN wf.hops IS NOT NULL THEN 'low_confidence' WHEN a.island IS DISTINCT FROM b.island THEN 'other_island' ELSE 'no_path' END AS reason, coalesce(sf.hops, wf.hops) AS hops
+        FROM ends e LEFT JOIN sf USING (rev, start, goal) LEFT JOIN wf USING (rev, start, goal) LEFT JOIN cc a ON a.rev = e.rev AND a.id = e.start LEFT JOIN cc b ON b.rev = e.rev AND b.id = e.goal WHERE sf.hops IS NULL OR sf.hops > 2""",
+    "island_mechanisms": rf"""WITH RECURSIVE {_SYMBOLS}, {_LINKS}, {_SYM}, {_CC},
+        ms AS (SELECT DISTINCT rev, regexp_replace(id, '\.[^.]+$', '') AS cls, regexp_extract(qualname, '[^.]*$') AS m FROM symbols WHERE kind = 'method' AND name_binding = 'live'),
+        ov AS (SELECT DISTINCT u.rev, u.src || '.' || a.m AS id FROM l u JOIN ms a ON a.rev = u.rev AND a.cls = u.src JOIN ms b ON b.rev = u.rev AND b.cls = u.dst AND b.m = a.m WHERE u.kind IN ('INHERITS', 'IMPLEMENTS')),
+        ran AS (SELECT rev, src AS id FROM l WHERE provenance = 'runtime' UNION SELECT rev, dst FROM l WHERE provenance = 'runtime'),
+        de AS (SELECT DISTINCT rev, path, b.qualname FROM snap JOIN blob_nodes b ON lower(b.blob_sha) = sha WHERE len(b.decorators) > 0),
+        x AS (SELECT rev, id, bool_or(qualname = 'main') AS entry, bool_or(regexp_matches(regexp_extract(qualname, '[^.]*$'), '^__.+__$') AND length(regexp_extract(qualname, '[^.]*$')) > 4) AS dunder, bool_or((rev, path, qualname) IN (SELECT (rev, path, qualname) FROM de)) AS decorator,
+            bool_or(regexp_matches(path, '(^|/)(test_[^/]*|[^/]*_test)\.py$') AND (regexp_matches(qualname, '^test[^.]*$') OR regexp_matches(qualname, '^Test[^.]*\.test[^.]*$'))) AS test, bool_or((rev, id) IN (SELECT (rev, id) FROM ov)) AS override, bool_or(contains(qualname, '<locals>')) AS nested, bool_or((rev, id) IN (SELECT (rev, id) FROM ran)) AS traced FROM symbols WHERE kind <> 'module' GROUP BY ALL),
+        s AS (SELECT rev, coalesce(island, id) AS island, count(*) AS n, {", ".join(f"bool_or({k}) AS {k}" for k in ("entry", "dunder", "decorator", "test", "override", "nested", "traced"))} FROM x LEFT JOIN cc USING (rev, id) GROUP BY rev, coalesce(island, id))
+        SELECT rev, island, n, concat_ws(' ', {", ".join(f"CASE WHEN {k} THEN '{k}' END" for k in ("entry", "dunder", "decorator", "test", "override", "nested", "traced"))}) AS mechanisms, (entry OR dunder OR decorator OR test OR override OR nested OR traced) AS explained FROM s""",
     "components": f"WITH RECURSIVE {_LINKS}, {_SYM}, {_CC} SELECT * FROM cc",
     "islands_summary": f"""WITH RECURSIVE {_SYMBOLS}, {_LINKS}, {_SYM}, {_CC}, s AS (SELECT rev, coalesce(island, id) AS island, count(*) AS n FROM (SELECT DISTINCT rev, id FROM symbols WHERE kind <> 'module') LEFT JOIN cc USING (rev, id) GROUP BY ALL)
         SELECT rev, sum(n)::BIGINT AS symbols, count(*) AS islands, max(n) AS largest, count(*) FILTER (n = 1) AS singletons FROM s GROUP BY ALL""",
