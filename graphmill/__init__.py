@@ -1,4 +1,4 @@
-"""graphmill: analytics over code graphs and the text around them, on Spark.
+"""graphmill: analytics over graphs of source symbols and the text around them, on Spark.
 
 Relations in, relations out: every operator takes DataFrames and returns a
 DataFrame, so Catalyst sees the plan; the few iterative operators write their

@@ -1,4 +1,4 @@
-"""Queries of the code graph engine over the delivered tables, with their SQL."""
+"""Queries of the symbol graph over the delivered tables, with their SQL."""
 
 from __future__ import annotations
 
@@ -612,6 +612,6 @@ QUERIES = {
     )
 }
 
-from graphmill.plans import code_graph_sql  # noqa: E402
+from graphmill.plans import symbol_graph_sql  # noqa: E402
 
-ORACLES = code_graph_sql.ORACLES | code_graph_sql._late()
+ORACLES = symbol_graph_sql.ORACLES | symbol_graph_sql._late()

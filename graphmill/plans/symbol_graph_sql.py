@@ -1,4 +1,4 @@
-"""DuckDB SQL of the code graph queries, over the delivered tables."""
+"""DuckDB SQL of the symbol graph queries, over the delivered tables."""
 
 from __future__ import annotations
 
@@ -56,7 +56,7 @@ _RESOLVED = f"""{_SYMBOLS}, {_REFS}, {_OWNED}, {_IMPORTED}, {_INDEX},
 def _glob(name: str) -> str:
     """CASE of the best rule: the most exact first."""
     from graphmill.functions.names import TIERS, glob_regex
-    from graphmill.plans.code_graph import RULES
+    from graphmill.plans.symbol_graph import RULES
 
     cases = ""
     for r in sorted(RULES, key=lambda r: (r.prefix, r.override, r.match), reverse=True):
