@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from graphmill.functions.names import glob_regex, last_segment, module_of_path, tier_rank
 from graphmill.functions.text import plain_sha
 from graphmill.operators.snapshots import latest_rows
+from graphmill.workspace import broadcast_if_small, cut
 
 BUILTINS = tuple(sorted(x for x in dir(builtins) if not x.startswith("_")))
 
@@ -39,6 +40,38 @@ class Rule:
         return self.confidence or ("HIGH" if self.prefix == len(self.match) else "LOW" if self.prefix == 0 else "MEDIUM")
 
 
+#: The built-in catalogue: what libraries do. ``GLOBAL_MUTATE`` has no rule, it is read from the syntax.
+CATALOGUE = (
+    Rule("requests.*", "NETWORK"),
+    *(Rule(f"requests.{verb}", "NETWORK") for verb in ("get", "post", "put", "patch", "delete", "head", "options", "request")),
+    Rule("httpx.*", "NETWORK"),
+    Rule("urllib.request.*", "NETWORK"),
+    Rule("socket.*", "NETWORK"),
+    Rule("subprocess.*", "PROCESS"),
+    Rule("os.system", "PROCESS"),
+    Rule("os.exec*", "PROCESS"),
+    Rule("os.environ*", "ENV_READ"),
+    Rule("os.getenv", "ENV_READ"),
+    Rule("open", "FS_READ"),
+    Rule("open!write", "FS_WRITE"),
+    Rule("open!ambiguous", "FS_READ", "MEDIUM"),
+    Rule("pathlib.Path.read*", "FS_READ"),
+    Rule("pathlib.Path.write*", "FS_WRITE"),
+    Rule("shutil.*", "FS_WRITE"),
+    Rule("*.session.commit", "DB_WRITE"),
+    Rule("*.session.add", "DB_WRITE"),
+    Rule("*.execute", "DB_WRITE"),
+    Rule("*.fetchone", "DB_READ"),
+    Rule("*.fetchall", "DB_READ"),
+    Rule("*.fetchmany", "DB_READ"),
+    Rule("boto3.*", "DB_WRITE"),
+    Rule("random.*", "NONDETERMINISM"),
+    Rule("time.time", "NONDETERMINISM"),
+    Rule("uuid.uuid4", "NONDETERMINISM"),
+    Rule("datetime.datetime.now", "NONDETERMINISM"),
+)
+
+
 def best_rule(name: Column, rules: Sequence[Rule]) -> Column:
     """``struct<effect, rank, match>`` of the rule with the longest literal prefix, then overrides first, then the greatest pattern; null for none.
 
@@ -147,12 +180,30 @@ def resolve(tree: DataFrame, nodes: DataFrame, refs: DataFrame, blobs: DataFrame
     return x.select("rev", "path", "ordinal", F.concat("path", F.lit("::"), "owner").alias("src"), "name", "ref_kind", "line", target.alias("dst"), step.alias("step"), rank.alias("rank"), reason.alias("reason"), F.when(reason == "ambiguous", F.col("candidates")).otherwise(0).alias("candidates"))
 
 
-def direct_effects(tree: DataFrame, refs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Effects of calls by rule, and of ``global`` statements: ``rev``, ``id``, ``effect``, ``rank``, ``line``; one row per symbol, effect and tier, at its first line."""
-    known = references(refs).where("ref_kind in ('call', 'global')")
-    hit = F.when(F.col("ref_kind") == "global", F.struct(F.lit("GLOBAL_MUTATE").alias("effect"), F.lit(2).alias("rank"), F.lit("").alias("match"))).otherwise(best_rule(F.coalesce("dotted", "name"), rules))
-    matched = known.withColumn("hit", hit).where("hit is not null").groupBy("blob_sha", "scope", "hit.effect", "hit.rank").agg(F.min("line").alias("line"))
-    return latest_rows(tree).join(matched, "blob_sha").select("rev", F.concat("path", F.lit("::"), "scope").alias("id"), "effect", "rank", "line")
+def first_party_names(names: DataFrame, snapshot: DataFrame, roots: Sequence[str] = ("src",)) -> DataFrame:
+    """``rev``, ``name`` of the dotted names of which any prefix, or the whole, is a module of the revision."""
+    modules = snapshot.select("rev", module_of_path(F.col("path"), roots).alias("module")).where("module != ''").distinct()
+    parts = F.split("name", r"\.")
+    prefixes = names.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("module"))
+    return modules.join(broadcast_if_small(cut(prefixes)), "module").select("rev", "name").distinct()
+
+
+def direct_effects(tree: DataFrame, refs: DataFrame, rules: Sequence[Rule], roots: Sequence[str] = ("src",)) -> DataFrame:
+    """Effects of calls by rule, and of ``global`` statements: ``rev``, ``id``, ``effect``, ``rank``, ``line``; one row per symbol, effect and tier, at its first line.
+
+    Rules that are no overrides describe libraries, so in revisions that define a module a name leads into, only overrides apply to it.
+    """
+    snapshot = latest_rows(tree)
+    called = F.coalesce("dotted", "name")
+    mutates = F.struct(F.lit("GLOBAL_MUTATE").alias("effect"), F.lit(2).alias("rank"), F.lit("").alias("match"))
+    known = references(refs).where("ref_kind in ('call', 'global')").withColumn("name", F.when(F.col("ref_kind") == "call", called)).groupBy("blob_sha", "scope", "name").agg(F.min("line").alias("line"))
+    hits = known.withColumns({"any": F.when(F.col("name").isNull(), mutates).otherwise(best_rule(F.col("name"), rules)), "own": F.when(F.col("name").isNull(), mutates).otherwise(best_rule(F.col("name"), [r for r in rules if r.override]))})
+    hits = cut(hits.where("any is not null"))
+    inside = first_party_names(hits.where("not any <=> own").select("name").distinct(), snapshot, roots).withColumn("inside", F.lit(True))
+    placed = snapshot.join(hits, "blob_sha").join(broadcast_if_small(cut(inside)), ["rev", "name"], "left")
+    hit = F.when(F.col("inside"), F.col("own")).otherwise(F.col("any"))
+    found = placed.select("rev", F.concat("path", F.lit("::"), "scope").alias("id"), hit.alias("hit"), "line").where("hit is not null")
+    return found.groupBy("rev", "id", "hit.effect", "hit.rank").agg(F.min("line").alias("line"))
 
 
 def containing_classes(symbols: DataFrame, required: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from graphmill.sources import python_source
 from graphmill.streaming import streams
 from graphmill.workspace import broadcast_if_small, cut, table
 
-#: Effects by called name; what the engine knows without a project's own rules.
+#: Effects by called name of the project in the tables; the SQL is written from these alone.
 RULES = (
     resolve.Rule("open", "FS_READ"),
     resolve.Rule("print", "FS_WRITE", "LOW"),
@@ -28,6 +30,9 @@ RULES = (
     resolve.Rule("re.[cm]*", "PROCESS", "LOW", override=True),
 )
 
+#: What the queries know: the built-in catalogue, and the project's rules as overrides. ``open`` is built in, and ``re.compile`` starts no process.
+EFFECT_RULES = (*resolve.CATALOGUE, *(replace(r, override=True) for r in RULES if r.match not in ("open", "re.[cm]*")))
+
 HOPS, LIMIT, LOW_LIMIT = 3, 40, 5
 
 
@@ -287,13 +292,13 @@ def impact_summary(spark, d):
 
 
 def direct_effects(spark, d):
-    return resolve.direct_effects(_t(spark, d, "tree"), _t(spark, d, "blob_refs"), RULES)
+    return resolve.direct_effects(_t(spark, d, "tree"), _t(spark, d, "blob_refs"), EFFECT_RULES)
 
 
 def glob_best_match(spark, d):
     """Every called name with the rule that fits it best."""
     called = resolve.references(_t(spark, d, "blob_refs")).where("ref_kind = 'call'").select(F.coalesce("dotted", "name").alias("name")).distinct()
-    return called.withColumn("hit", resolve.best_rule(F.col("name"), RULES)).where("hit is not null").select("name", "hit.effect", "hit.rank", "hit.match")
+    return called.withColumn("hit", resolve.best_rule(F.col("name"), EFFECT_RULES)).where("hit is not null").select("name", "hit.effect", "hit.rank", "hit.match")
 
 
 def widest_path_effects(spark, d):
