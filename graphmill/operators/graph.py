@@ -159,6 +159,47 @@ def shortest_paths(edges: DataFrame, ends: DataFrame, hops: int) -> DataFrame:
     return arrived
 
 
+def distances(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """Fewest links from ``start`` to ``goal`` without a limit: ``rev``, ``start``, ``goal``, ``hops``; no row where no way leads there.
+
+    A start advances until all its goals are reached or nothing new is.
+    """
+    key = ["rev", "start", "goal"]
+    pairs = cut(collapse_edges(edges).select("rev", "src", "dst"))
+    pending = cut(ends.select(*key).distinct())
+    level = seen = cut(pending.select("rev", "start", F.col("start").alias("id")).distinct())
+    arrived, hops = pending.withColumn("hops", F.lit(0)).where(F.lit(False)), 0
+    while rows_of(level):
+        hit = cut(pending.join(level.withColumnRenamed("id", "goal"), key))
+        if rows_of(hit):
+            arrived = arrived.unionByName(hit.withColumn("hops", F.lit(hops)))
+            pending = cut(pending.join(broadcast_if_small(hit), key, "left_anti"))
+            if not rows_of(pending):
+                break
+            level = cut(level.join(broadcast_if_small(pending).select("rev", "start"), ["rev", "start"], "left_semi"))
+        near = pairs.join(broadcast_if_small(level).withColumnRenamed("id", "src"), ["rev", "src"]).select("rev", "start", F.col("dst").alias("id")).distinct()
+        level = cut(near.join(seen, ["rev", "start", "id"], "left_anti"))
+        seen = seen.unionByName(level)
+        hops += 1
+    return arrived
+
+
+def farthest_sources(edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """Per revision the node that takes most links to the nearest of the goals (``rev``, ``goal``), then the smallest: ``rev``, ``id``, ``hops``."""
+    pairs = cut(collapse_edges(edges).select("rev", "src", "dst"))
+    level = seen = cut(goals.select("rev", F.col("goal").alias("id")).distinct())
+    last, hops = level.withColumn("hops", F.lit(0)), 0
+    while True:
+        near = pairs.join(broadcast_if_small(level).withColumnRenamed("id", "dst"), ["rev", "dst"]).select("rev", F.col("src").alias("id")).distinct()
+        level = cut(near.join(seen, ["rev", "id"], "left_anti"))
+        if not rows_of(level):
+            break
+        seen = seen.unionByName(level)
+        hops += 1
+        last = last.unionByName(level.groupBy("rev").agg(F.min("id").alias("id")).withColumn("hops", F.lit(hops)))
+    return last.groupBy("rev").agg(F.min(F.struct((-F.col("hops")).alias("near"), "id")).alias("x")).select("rev", "x.id", (-F.col("x.near")).alias("hops"))
+
+
 def _relabel(edges: DataFrame, hooks: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         edges = edges.join(hooks.select("rev", F.col("id").alias(end), "to"), ["rev", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")

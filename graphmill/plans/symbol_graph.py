@@ -348,32 +348,48 @@ def effect_summary(spark, d):
     return x.withColumn("severity", names.position(F.col("effect"), names.SEVERITY))
 
 
+def _strong(edges):
+    return graph.links_only(edges).where("confidence in ('MEDIUM', 'HIGH')").select("rev", "src", "dst", "kind", "confidence", "provenance")
+
+
 def _path_ends(edges):
+    """To the ten most called symbols of each revision: from the symbol with the most targets, and from the one that takes most strong links to get to any of them."""
     out = graph.links_only(edges).select("rev", "src", "dst").distinct().groupBy("rev", "src").agg(F.count(F.lit(1)).alias("n")).groupBy("rev").agg(F.max_by("src", F.struct("n", "src")).alias("start"))
-    goals = graph.budget(graph.fan_in(edges), ["rev"], [F.col("fan_in").desc(), F.col("id")], 10).select("rev", F.col("id").alias("goal"))
-    return out.join(goals, "rev")
+    goals = cut(graph.budget(graph.fan_in(edges), ["rev"], [F.col("fan_in").desc(), F.col("id")], 10).select("rev", F.col("id").alias("goal")))
+    far = graph.farthest_sources(_strong(edges), goals).select("rev", F.col("id").alias("start"))
+    return cut(out.unionByName(far).distinct().join(goals, "rev"))
+
+
+def _both_ways(ends):
+    return ends.unionByName(ends.select("rev", F.col("goal").alias("start"), F.col("start").alias("goal"))).distinct()
 
 
 def shortest_path(spark, d):
-    """From the symbol with the most targets to the ten most called symbols of its revision."""
+    """Between the ends of :func:`_path_ends`, in both directions: a row reads along the links, from whichever end reaches the other."""
     edges = _t(spark, d, "edges")
-    found = graph.shortest_paths(edges, _path_ends(edges), 6)
+    found = graph.shortest_paths(edges, _both_ways(_path_ends(edges)), 6)
     return found.select("rev", "start", "goal", "hops", "rank", F.array_join("nodes", " > ").alias("path"))
 
 
 def path_negative(spark, d):
-    """Why there is no way of two links that are not weak: it takes more links, or weak ones, or the islands differ, or nothing leads there.
+    """Why there is no way of two links that are not weak, in either direction: it takes more links, or weak ones, or the islands differ, or nothing leads there.
 
-    Longer ways are looked for up to eight links.
+    Longer ways are looked for in both directions until nothing new is reached; ``hops`` is the shorter one.
     """
     edges = _t(spark, d, "edges")
-    ends = cut(_path_ends(edges))
-    strong = cut(graph.links_only(edges).where("confidence in ('MEDIUM', 'HIGH')").select("rev", "src", "dst", "kind", "confidence", "provenance"))
+    ends = _path_ends(edges)
     key = ["rev", "start", "goal"]
-    sure = cut(graph.shortest_paths(strong, ends, 8).select(*key, F.col("hops").alias("needed")))
-    weak = cut(graph.shortest_paths(edges, ends, 8).select(*key, F.col("hops").alias("with_weak")))
+
+    def shorter(links, ends, name):
+        one_way = graph.distances(links, _both_ways(ends))
+        back = one_way.select("rev", F.col("goal").alias("start"), F.col("start").alias("goal"), "hops")
+        return cut(one_way.unionByName(back).groupBy(*key).agg(F.min("hops").alias(name)).join(ends, key, "left_semi"))
+
+    sure = shorter(_strong(edges), ends, "needed")
+    x = ends.join(sure, key, "left").where("needed is null or needed > 2")
+    weak = shorter(edges, x.where("needed is null").select(*key), "with_weak")
     islands = cut(graph.connected(edges))
-    x = ends.join(sure, key, "left").join(weak, key, "left").where("needed is null or needed > 2")
+    x = x.join(weak, key, "left")
     for end in ("start", "goal"):
         x = x.join(islands.select("rev", F.col("id").alias(end), F.col("island").alias(f"{end}_island")), ["rev", end], "left")
     reason = F.when(F.col("needed").isNotNull(), "hop_limit").when(F.col("with_weak").isNotNull(), "low_confidence").when(~F.col("start_island").eqNullSafe(F.col("goal_island")), "other_island").otherwise("no_path")
