@@ -328,18 +328,57 @@ def islands_with_hubs(spark, d):
     return x.join(least, ["rev", "island"]).select("rev", "id", F.col("label").alias("island"))
 
 
+def _sides(spark, d):
+    """Live symbols that left (``new`` 0) or arrived (1) at each revision."""
+    here = _symbols(spark, d).where("name_binding = 'live' and kind != 'module'").join(_revs(spark, d), "rev").select("idx", "id", "kind", "body_hash").distinct()
+    gone = here.join(here.select((F.col("idx") - 1).alias("idx"), "id"), ["idx", "id"], "left_anti").select((F.col("idx") + 1).alias("idx"), "id", "kind", "body_hash", F.lit(0).alias("new"))
+    come = here.join(here.select((F.col("idx") + 1).alias("idx"), "id"), ["idx", "id"], "left_anti").select("idx", "id", "kind", "body_hash", F.lit(1).alias("new"))
+    return gone.unionByName(come)
+
+
+def _moves(spark, d):
+    """Certain moves (``idx``, ``removed``, ``added``), and what left or arrived with several candidates (``idx``, ``id``)."""
+    paired = cut(move_pairing(spark, d).where("body_hash is not null").join(_revs(spark, d), "rev"))
+    unsure = _sides(spark, d).join(paired.where("tier = 'LOW'").select("idx", "kind", "body_hash"), ["idx", "kind", "body_hash"], "left_semi").select("idx", "id").distinct()
+    return cut(paired.where("tier = 'MEDIUM'").select("idx", "removed", "added")), unsure
+
+
+def _differences(rows, ids, rest, moves, last):
+    """Rows gained and lost from revision to revision, after the ids before are carried over certain moves: ``idx``, ``ids``, ``rest``, ``change``."""
+    columns = ["idx", *ids, *rest]
+    now = cut(rows.select(*columns).distinct())
+    before = now.withColumn("idx", F.col("idx") + 1).where(F.col("idx") <= last)
+    for c in ids:
+        before = before.join(broadcast_if_small(moves).select("idx", F.col("removed").alias(c), F.col("added").alias("__to")), ["idx", c], "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
+    gained = now.where("idx > 0").join(before, columns, "left_anti").withColumn("change", F.lit("added"))
+    return gained.unionByName(before.distinct().join(now, columns, "left_anti").withColumn("change", F.lit("removed")))
+
+
+def _strong_differences(spark, d, moves, last):
+    revs = _revs(spark, d)
+    links = _strong(_t(spark, d, "edges")).join(revs, "rev").withColumn("kind", F.coalesce("kind", F.lit("")))
+    effects = widest_path_effects(spark, d).where("rank > 0").join(revs, "rev")
+    return _differences(links, ["src", "dst"], ["kind"], moves, last), _differences(effects, ["id"], ["effect"], moves, last)
+
+
 def symbol_history(spark, d):
-    """What happened to each symbol in each revision: its body, links it made or lost, links to it that came or went."""
+    """What happened to each symbol in each revision: its body, links it made or lost, links to it that came or went, effects; followed over certain moves.
+
+    ``moved_from`` is the id it had in the revision before; where only possible moves are known, the row is
+    ``lineage_ambiguous`` and nothing is followed.
+    """
     revs = _revs(spark, d)
     last = revs.agg(F.max("idx")).first()[0] or 0
+    moves, unsure = _moves(spark, d)
     bodies = _symbols(spark, d).where("name_binding = 'live'").join(revs, "rev").groupBy("id", "idx").agg(F.max("body_hash").alias("body_hash"))
     body = snapshots.change_events(snapshots.validity_intervals(bodies, ["id"], "body_hash"), ["id"], "body_hash", last).where("change = 'changed'")
-    strong = graph.links_only(_t(spark, d, "edges")).where("confidence in ('MEDIUM', 'HIGH')").join(revs, "rev").select("src", "dst", "kind", "idx").distinct().withColumn("state", F.lit(1))
-    links = snapshots.change_events(snapshots.validity_intervals(strong, ["src", "dst", "kind"], "state"), ["src", "dst", "kind"], "state", last)
+    links, effects = _strong_differences(spark, d, moves, last)
     ends = links.select("idx", F.explode(F.array(F.struct(F.col("src").alias("id"), F.concat(F.lit("calls_"), "change").alias("what")), F.struct(F.col("dst").alias("id"), F.concat(F.lit("dependents_"), "change").alias("what")))).alias("x")).select("idx", "x.id", "x.what")
-    all_ = ends.unionByName(body.select("idx", "id", F.lit("body").alias("what")))
-    counted = all_.groupBy("idx", "id").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("body", "calls_added", "calls_removed", "dependents_added", "dependents_removed")])
-    return counted.join(revs, "idx").drop("idx")
+    all_ = ends.unionByName(body.select("idx", "id", F.lit("body").alias("what"))).unionByName(effects.select("idx", "id", F.concat(F.lit("effects_"), "change").alias("what")))
+    all_ = all_.unionByName(moves.select("idx", F.col("added").alias("id"), F.lit("moved").alias("what"))).unionByName(unsure.select("idx", "id", F.lit("unsure").alias("what")))
+    counted = all_.groupBy("idx", "id").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("body", "calls_added", "calls_removed", "dependents_added", "dependents_removed", "effects_added", "effects_removed")], F.bool_or(F.col("what") == "unsure").alias("lineage_ambiguous"))
+    moved = moves.select("idx", F.col("added").alias("id"), F.col("removed").alias("moved_from"))
+    return counted.join(moved, ["idx", "id"], "left").join(revs, "idx").drop("idx")
 
 
 def effect_summary(spark, d):
@@ -479,23 +518,20 @@ def snapshot_diff(spark, d):
 
 def move_pairing(spark, d):
     """Bodies that left and arrived between two revisions: a certain move if one of each, else only possible ones."""
-    rows = _symbols(spark, d).where("name_binding = 'live' and kind != 'module'").join(_revs(spark, d), "rev").select("id", "kind", "body_hash", "idx").distinct()
-    here = rows.select("idx", "id", "kind", "body_hash")
-    gone = here.join(rows.select((F.col("idx") - 1).alias("idx"), "id"), ["idx", "id"], "left_anti").select((F.col("idx") + 1).alias("idx"), "id", "kind", "body_hash", F.lit(0).alias("new"))
-    come = here.join(rows.select((F.col("idx") + 1).alias("idx"), "id"), ["idx", "id"], "left_anti").select("idx", "id", "kind", "body_hash", F.lit(1).alias("new"))
-    grouped = gone.unionByName(come).groupBy("idx", "kind", "body_hash").agg(F.count_if(F.col("new") == 0).alias("n_removed"), F.count_if(F.col("new") == 1).alias("n_added"), F.min(F.when(F.col("new") == 0, F.col("id"))).alias("removed"), F.min(F.when(F.col("new") == 1, F.col("id"))).alias("added"))
+    grouped = _sides(spark, d).groupBy("idx", "kind", "body_hash").agg(F.count_if(F.col("new") == 0).alias("n_removed"), F.count_if(F.col("new") == 1).alias("n_added"), F.min(F.when(F.col("new") == 0, F.col("id"))).alias("removed"), F.min(F.when(F.col("new") == 1, F.col("id"))).alias("added"))
     tier = F.when((F.col("n_removed") == 1) & (F.col("n_added") == 1), "MEDIUM").otherwise("LOW")
     return grouped.where("n_removed > 0 and n_added > 0").join(_revs(spark, d), "idx").select("rev", "kind", "body_hash", tier.alias("tier"), "n_removed", "n_added", "removed", "added")
 
 
 def history_steps(spark, d):
-    """Per revision: symbols and strong links gained, lost and changed against the one before."""
+    """Per revision: symbols, strong links and effects gained, lost and changed against the one before, and moves; links and effects are followed over certain moves."""
     revs = _revs(spark, d)
     last = revs.agg(F.max("idx")).first()[0] or 0
-    strong = graph.links_only(_t(spark, d, "edges")).where("confidence in ('MEDIUM', 'HIGH')").join(revs, "rev").select("src", "dst", "kind", "idx").distinct().withColumn("state", F.lit(1))
-    links = snapshots.change_events(snapshots.validity_intervals(strong, ["src", "dst", "kind"], "state"), ["src", "dst", "kind"], "state", last).select("idx", F.concat(F.lit("edges_"), "change").alias("c"))
+    moves, _ = _moves(spark, d)
+    links, effects = _strong_differences(spark, d, moves, last)
     nodes = snapshot_diff(spark, d).join(revs, "rev").select("idx", F.concat(F.lit("symbols_"), "change").alias("c"))
-    counted = links.unionByName(nodes).groupBy("idx").agg(*[F.count_if(F.col("c") == c).alias(c) for c in ("symbols_added", "symbols_removed", "symbols_changed", "edges_added", "edges_removed")])
+    steps = nodes.unionByName(links.select("idx", F.concat(F.lit("edges_"), "change").alias("c"))).unionByName(effects.select("idx", F.concat(F.lit("effects_"), "change").alias("c"))).unionByName(moves.select("idx", F.lit("moves").alias("c")))
+    counted = steps.groupBy("idx").agg(*[F.count_if(F.col("c") == c).alias(c) for c in ("symbols_added", "symbols_removed", "symbols_changed", "edges_added", "edges_removed", "effects_added", "effects_removed", "moves")])
     return counted.join(revs, "idx").drop("idx")
 
 
