@@ -646,7 +646,7 @@ def treemap_layout(spark, d):
 def bootstrap_ci(spark, d):
     """How many more callers observation adds to symbols, per revision, with an interval."""
     edges = graph.links_only(_t(spark, d, "edges")).where("kind = 'CALLS'").groupBy("rev", "src", "dst").agg(F.bool_or(F.col("provenance") == "static").alias("static")).groupBy("rev", "dst").agg(F.count_if("static").alias("a"), F.count(F.lit(1)).alias("b"))
-    return evaluate.paired_bootstrap(edges.select(F.col("rev").alias("name"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")), resamples=1_000)
+    return evaluate.paired_bootstrap(edges.select(F.col("rev").alias("name"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")))
 
 
 def event_windows(spark, d):
