@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,24 +12,10 @@ from graphmill.sources import python_source
 from graphmill.streaming import streams
 from graphmill.workspace import broadcast_if_small, cut, table
 
-#: Effects by called name of the project in the tables; the SQL is written from these alone.
-RULES = (
-    resolve.Rule("open", "FS_READ"),
-    resolve.Rule("print", "FS_WRITE", "LOW"),
-    resolve.Rule("app.core.log.*", "FS_WRITE"),
-    resolve.Rule("log.*", "FS_WRITE", "LOW"),
-    resolve.Rule("app.core.config.*", "ENV_READ"),
-    resolve.Rule("read_config", "ENV_READ"),
-    resolve.Rule("app.core.clock.now_ms", "NONDETERMINISM"),
-    resolve.Rule("clock.now_?s", "NONDETERMINISM"),
-    resolve.Rule("registry.*", "DB_READ", "LOW"),
-    resolve.Rule("registry.put", "DB_WRITE"),
-    resolve.Rule("*.append", "GLOBAL_MUTATE"),
-    resolve.Rule("re.[cm]*", "PROCESS", "LOW", override=True),
-)
-
-#: What the queries know: the built-in catalogue, and the project's rules as overrides. ``open`` is built in, and ``re.compile`` starts no process.
-EFFECT_RULES = (*resolve.CATALOGUE, *(replace(r, override=True) for r in RULES if r.match not in ("open", "re.[cm]*")))
+#: Rules a project would add to the built-in catalogue: what it prints, and what it appends to lists.
+PROJECT_RULES = (resolve.Rule("print", "FS_WRITE", "LOW", override=True), resolve.Rule("*.append", "GLOBAL_MUTATE", override=True))
+
+EFFECT_RULES = (*resolve.CATALOGUE, *PROJECT_RULES)
 
 HOPS, LIMIT, LOW_LIMIT = 3, 40, 5
 

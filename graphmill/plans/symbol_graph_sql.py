@@ -53,21 +53,26 @@ _RESOLVED = f"""{_SYMBOLS}, {_REFS}, {_OWNED}, {_IMPORTED}, {_INDEX},
     resolved AS (SELECT rev, path, ordinal, src, name, ref_kind, line, dst, step, rank, reason, CASE WHEN reason = 'ambiguous' THEN c ELSE 0 END AS candidates FROM res)"""
 
 
-def _glob(name: str) -> str:
-    """CASE of the best rule: the most exact first."""
-    from graphmill.functions.names import TIERS, glob_regex
-    from graphmill.plans.symbol_graph import RULES
+def _rules() -> str:
+    """The rules as a relation, and each called name's best rule of all and of the overrides, by glob."""
+    from graphmill.functions.names import TIERS
+    from graphmill.plans.symbol_graph import EFFECT_RULES
 
-    cases = ""
-    for r in sorted(RULES, key=lambda r: (r.prefix, r.override, r.match), reverse=True):
-        hit = f"{name} = '{r.match}'" if r.prefix == len(r.match) else f"regexp_full_match({name}, '{glob_regex(r.match)[5:-1]}', 's')"
-        cases += f" WHEN {hit} THEN {{'effect': '{r.effect}', 'rank': {TIERS.index(r.tier)}, 'match': '{r.match}'}}"
-    return f"CASE{cases} END"
+    values = ", ".join(f"('{r.match}', '{r.effect}', {TIERS.index(r.tier)}, {str(r.override).lower()}, {r.prefix})" for r in EFFECT_RULES)
+    best = "arg_max({'effect': effect, 'rank': rank::INT, 'match': match}, {'p': prefix, 'o': override, 'm': match})"
+    return f"""rules(match, effect, rank, override, prefix) AS (VALUES {values}),
+    called AS (SELECT DISTINCT coalesce(dotted, name) AS name FROM refs WHERE ref_kind = 'call'),
+    ruled AS (SELECT name, {best} AS a, {best} FILTER (override) AS o FROM called JOIN rules ON name GLOB match GROUP BY name)"""
 
 
 def _direct() -> str:
-    return f"""hits AS (SELECT sha, scope, line, CASE WHEN ref_kind = 'global' THEN {{'effect': 'GLOBAL_MUTATE', 'rank': 2, 'match': ''}} ELSE {_glob("coalesce(dotted, name)")} END AS h FROM refs WHERE ref_kind IN ('call', 'global')),
-    direct AS (SELECT rev, path || '::' || scope AS id, h.effect AS effect, h.rank AS rank, min(line) AS line FROM hits JOIN snap USING (sha) WHERE h IS NOT NULL GROUP BY ALL)"""
+    """Rules that describe libraries do not hold where the name leads into a module of the revision."""
+    return rf"""{_rules()}, mods AS (SELECT DISTINCT rev, {_MODULE.format("regexp_replace(path, '^src/', '')")} AS m FROM snap),
+    prefixes AS (SELECT name, array_to_string(string_split(name, '.')[1:n], '.') AS m FROM (SELECT name, unnest(range(1, len(string_split(name, '.')) + 1)) AS n FROM ruled)),
+    inside AS (SELECT DISTINCT rev, name FROM prefixes JOIN mods USING (m) WHERE m <> ''),
+    hits AS (SELECT snap.rev, path || '::' || scope AS id, line, CASE WHEN ref_kind = 'global' THEN {{'effect': 'GLOBAL_MUTATE', 'rank': 2, 'match': ''}} WHEN i.name IS NOT NULL THEN ruled.o ELSE ruled.a END AS h
+        FROM refs JOIN snap USING (sha) LEFT JOIN ruled ON ref_kind = 'call' AND ruled.name = coalesce(dotted, refs.name) LEFT JOIN inside i ON i.rev = snap.rev AND i.name = ruled.name WHERE ref_kind IN ('call', 'global')),
+    direct AS (SELECT rev, id, h.effect AS effect, h.rank AS rank, min(line) AS line FROM hits WHERE h IS NOT NULL GROUP BY ALL)"""
 
 
 def _levels() -> str:
@@ -88,8 +93,19 @@ def _paths(hops: int, p: str = "p", pairs: str = "pairs") -> str:
     return out
 
 
-_ENDS = """best AS (SELECT rev, src AS start FROM (SELECT rev, src, count(DISTINCT dst) AS n FROM l GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY rev ORDER BY n DESC, src DESC) = 1),
-        ends AS (SELECT rev, start, id AS goal FROM best JOIN (SELECT * FROM fan QUALIFY row_number() OVER (PARTITION BY rev ORDER BY fan_in DESC, id) <= 10) USING (rev))"""
+# Ends of paths: to the ten most called symbols, from the symbol with the most targets and from the one farthest from all of them; both directions.
+_ENDS = """sp AS (SELECT rev, src, dst, max(rank) AS rank FROM l WHERE rank > 0 GROUP BY ALL),
+        goals AS (SELECT rev, id AS goal FROM fan QUALIFY row_number() OVER (PARTITION BY rev ORDER BY fan_in DESC, id) <= 10),
+        back(rev, id, hops) USING KEY (rev, id) AS (SELECT rev, goal, 0 FROM goals UNION SELECT DISTINCT sp.rev, sp.src, back.hops + 1 FROM back JOIN sp ON sp.rev = back.rev AND sp.dst = back.id WHERE (sp.rev, sp.src) NOT IN (SELECT (rev, id) FROM recurring.back)),
+        starts AS (SELECT rev, src AS start FROM (SELECT rev, src, count(DISTINCT dst) AS n FROM l GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY rev ORDER BY n DESC, src DESC) = 1
+            UNION SELECT rev, id FROM back QUALIFY row_number() OVER (PARTITION BY rev ORDER BY hops DESC, id) = 1),
+        one_way AS (SELECT rev, start, goal FROM starts JOIN goals USING (rev)), ends AS (SELECT rev, start, goal FROM one_way UNION SELECT rev, goal, start FROM one_way)"""
+
+
+def _distances(name: str, pairs: str) -> str:
+    return f"""{name}(rev, start, id, hops) USING KEY (rev, start, id) AS (SELECT DISTINCT rev, start, start, 0 FROM ends
+        UNION SELECT DISTINCT p.rev, d.start, p.dst, d.hops + 1 FROM {name} d JOIN {pairs} p ON p.rev = d.rev AND p.src = d.id WHERE (p.rev, d.start, p.dst) NOT IN (SELECT (rev, start, id) FROM recurring.{name})),
+        {name}_least AS (SELECT o.rev, o.start, o.goal, min(d.hops) AS hops FROM one_way o JOIN {name} d ON d.rev = o.rev AND ((d.start = o.start AND d.id = o.goal) OR (d.start = o.goal AND d.id = o.start)) GROUP BY ALL)"""
 
 
 _REACHED = f"{_PAIRS}, {_HUBS}, {_levels()}, reached AS ({' UNION ALL '.join(f'SELECT rev, start, id, {k} AS hop, rank, observed FROM l{k}' for k in (1, 2, 3))})"
@@ -106,8 +122,12 @@ _SYM = "sym AS (SELECT DISTINCT rev, src AS a, dst AS b FROM l WHERE src <> dst
 _SIZED = "sized AS (SELECT rev, path, n_bytes, lines FROM snap JOIN (SELECT lower(blob_sha) AS sha, max(n_bytes) AS n_bytes, max(len(string_split(content, chr(10)))) AS lines FROM blob_texts GROUP BY ALL) USING (sha))"
 _STATE = f"""{_SYMBOLS}, {_LINKS},
     strong AS (SELECT DISTINCT rev, src, dst, kind FROM l WHERE confidence IN ('MEDIUM', 'HIGH')),
-    own AS (SELECT rev, src AS id, list_sort(list(dst || '|' || kind)) AS links FROM strong GROUP BY ALL),
-    content AS (SELECT idx, id AS item, '' AS target, {{'b': max(body_hash), 'l': any_value(links)}} AS content FROM symbols LEFT JOIN own USING (rev, id) JOIN revs USING (rev) WHERE name_binding = 'live' GROUP BY idx, id)"""
+    outgoing AS (SELECT rev, src AS id, list_sort(list(dst || '|' || kind)) AS links FROM strong GROUP BY ALL),
+    content AS (SELECT idx, id AS item, '' AS target, {{'b': max(body_hash), 'l': any_value(links)}} AS content FROM symbols LEFT JOIN outgoing USING (rev, id) JOIN revs USING (rev) WHERE name_binding = 'live' GROUP BY idx, id)"""
+
+_MOVES = """r AS (SELECT DISTINCT idx, id, kind, body_hash FROM symbols JOIN revs USING (rev) WHERE name_binding = 'live' AND kind <> 'module'),
+        g AS (SELECT a.idx + 1 AS idx, a.kind, a.body_hash, a.id, 0 AS new FROM r a WHERE (a.idx + 1, a.id) NOT IN (SELECT (idx, id) FROM r) UNION ALL SELECT b.idx, b.kind, b.body_hash, b.id, 1 FROM r b WHERE (b.idx - 1, b.id) NOT IN (SELECT (idx, id) FROM r)),
+        p AS (SELECT idx, kind, body_hash, count(*) FILTER (new = 0) AS n_removed, count(*) FILTER (new = 1) AS n_added, min(id) FILTER (new = 0) AS removed, min(id) FILTER (new = 1) AS added FROM g GROUP BY ALL)"""
 
 ORACLES = {
     "tree_snapshot": f"WITH {_TREE} SELECT rev, path, sha AS blob_sha FROM snap",
@@ -160,13 +180,12 @@ ORACLES = {
     "impact_ranked": f"""WITH {_IMPACT}, s AS (SELECT *, CASE WHEN rank = 0 THEN 'low_confidence' WHEN test THEN 'tests' ELSE 'dependents' END AS section FROM impact)
         SELECT rev, section, row_number() OVER (PARTITION BY rev, rank = 0 ORDER BY section, score DESC, id) AS place, id, hop, rank, score FROM s QUALIFY place <= CASE WHEN rank = 0 THEN 5 ELSE 40 END""",
     "impact_summary": f"WITH {_IMPACT} SELECT rev, count(*) FILTER (rank > 0) AS symbols, count(DISTINCT path) FILTER (rank > 0) AS modules, count(*) FILTER (rank > 0 AND fan_in = 0) AS entry_points, count(*) FILTER (rank = 0) AS hidden_low FROM impact GROUP BY ALL",
-    "shortest_path": f"""WITH {_PAIRS}, {_FAN}, {_ENDS},
+    "shortest_path": f"""WITH RECURSIVE {_PAIRS}, {_FAN}, {_ENDS},
         {_paths(6)}, found AS ({" UNION ALL ".join(f"SELECT rev, start, id AS goal, {k} AS hops, rank, nodes FROM p{k}" for k in range(7))})
         SELECT rev, start, goal, hops, rank, array_to_string(nodes, ' > ') AS path FROM found SEMI JOIN ends USING (rev, start, goal)""",
-    "path_negative": f"""WITH RECURSIVE {_PAIRS}, {_FAN}, {_ENDS}, sp AS (SELECT rev, src, dst, max(rank) AS rank FROM l WHERE rank > 0 GROUP BY ALL), {_paths(8, "s", "sp")}, {_paths(8, "w")},
-        sf AS ({" UNION ALL ".join(f"SELECT rev, start, id AS goal, {k} AS hops FROM s{k}" for k in range(9))}), wf AS ({" UNION ALL ".join(f"SELECT rev, start, id AS goal, {k} AS hops FROM w{k}" for k in range(9))}), {_SYM}, {_CC}
-        SELECT e.rev, e.start, e.goal, CASE WHEN sf.hops IS NOT NULL THEN 'hop_limit' WHEN wf.hops IS NOT NULL THEN 'low_confidence' WHEN a.island IS DISTINCT FROM b.island THEN 'other_island' ELSE 'no_path' END AS reason, coalesce(sf.hops, wf.hops) AS hops
-        FROM ends e LEFT JOIN sf USING (rev, start, goal) LEFT JOIN wf USING (rev, start, goal) LEFT JOIN cc a ON a.rev = e.rev AND a.id = e.start LEFT JOIN cc b ON b.rev = e.rev AND b.id = e.goal WHERE sf.hops IS NULL OR sf.hops > 2""",
+    "path_negative": f"""WITH RECURSIVE {_PAIRS}, {_FAN}, {_ENDS}, {_distances("sd", "sp")}, {_distances("wd", "pairs")}, {_SYM}, {_CC}
+        SELECT e.rev, e.start, e.goal, CASE WHEN s.hops IS NOT NULL THEN 'hop_limit' WHEN w.hops IS NOT NULL THEN 'low_confidence' WHEN a.island IS DISTINCT FROM b.island THEN 'other_island' ELSE 'no_path' END AS reason, coalesce(s.hops, w.hops) AS hops
+        FROM one_way e LEFT JOIN sd_least s USING (rev, start, goal) LEFT JOIN wd_least w USING (rev, start, goal) LEFT JOIN cc a ON a.rev = e.rev AND a.id = e.start LEFT JOIN cc b ON b.rev = e.rev AND b.id = e.goal WHERE s.hops IS NULL OR s.hops > 2""",
     "island_mechanisms": rf"""WITH RECURSIVE {_SYMBOLS}, {_LINKS}, {_SYM}, {_CC},
         ms AS (SELECT DISTINCT rev, regexp_replace(id, '\.[^.]+$', '') AS cls, regexp_extract(qualname, '[^.]*$') AS m FROM symbols WHERE kind = 'method' AND name_binding = 'live'),
         ov AS (SELECT DISTINCT u.rev, u.src || '.' || a.m AS id FROM l u JOIN ms a ON a.rev = u.rev AND a.cls = u.src JOIN ms b ON b.rev = u.rev AND b.cls = u.dst AND b.m = a.m WHERE u.kind IN ('INHERITS', 'IMPLEMENTS')),
@@ -189,12 +208,8 @@ ORACLES = {
         o AS (SELECT DISTINCT w.word, w.sha, w.line FROM w LEFT JOIN own USING (sha, word) WHERE w.word IN (SELECT word FROM own) AND (own.line_start IS NULL OR w.line < own.line_start OR w.line > own.line_end))
         SELECT word, count(DISTINCT sha) AS n_texts, count(*) AS n_lines FROM o GROUP BY ALL""",
     "snapshot_diff": f"WITH {_STATE}, events AS ({_diff('content', 'symbol')}) SELECT rev, item AS id, change FROM events JOIN revs USING (idx)",
-    "move_pairing": f"""WITH {_SYMBOLS}, r AS (SELECT DISTINCT idx, id, kind, body_hash FROM symbols JOIN revs USING (rev) WHERE name_binding = 'live' AND kind <> 'module'),
-        g AS (SELECT a.idx + 1 AS idx, a.kind, a.body_hash, a.id, 0 AS new FROM r a WHERE (a.idx + 1, a.id) NOT IN (SELECT (idx, id) FROM r) UNION ALL SELECT b.idx, b.kind, b.body_hash, b.id, 1 FROM r b WHERE (b.idx - 1, b.id) NOT IN (SELECT (idx, id) FROM r)),
-        p AS (SELECT idx, kind, body_hash, count(*) FILTER (new = 0) AS n_removed, count(*) FILTER (new = 1) AS n_added, min(id) FILTER (new = 0) AS removed, min(id) FILTER (new = 1) AS added FROM g GROUP BY ALL)
+    "move_pairing": f"""WITH {_SYMBOLS}, {_MOVES}
         SELECT rev, kind, body_hash, CASE WHEN n_removed = 1 AND n_added = 1 THEN 'MEDIUM' ELSE 'LOW' END AS tier, n_removed, n_added, removed, added FROM p JOIN revs USING (idx) WHERE n_removed > 0 AND n_added > 0""",
-    "history_steps": f"""WITH {_STATE}, ln AS (SELECT idx, src AS item, dst || '|' || kind AS target, 1 AS content FROM strong JOIN revs USING (rev)), events AS ({_diff('content', 'symbols')} UNION ALL {_diff('ln', 'edges')})
-        SELECT rev, {", ".join(f"count(*) FILTER (record = '{a}' AND change = '{b}') AS {a}_{b}" for a, b in (("symbols", "added"), ("symbols", "removed"), ("symbols", "changed"), ("edges", "added"), ("edges", "removed")))} FROM events JOIN revs USING (idx) GROUP BY rev""",
     "trace_reconcile": f"""WITH {_SYMBOLS}, {_LINKS}, st AS (SELECT rev, src, dst, min({{'a': callsite_line, 'b': callsite_path}}) AS site FROM l WHERE kind = 'CALLS' AND provenance = 'static' GROUP BY ALL), own AS (SELECT rev, id AS src, min(line_start) AS line_start FROM symbols GROUP BY ALL)
         SELECT s.rev, s.src, s.dst, CASE WHEN site IS NULL THEN 'added' ELSE 'confirmed' END AS status, coalesce(site.b, string_split(s.src, '::')[1]) AS path, coalesce(site.a, line_start) AS line FROM (SELECT DISTINCT rev, src, dst FROM l WHERE provenance = 'runtime') s LEFT JOIN st USING (rev, src, dst) LEFT JOIN own ON own.rev = s.rev AND own.src = s.src""",
     "trace_stale": f"""WITH {_TREE}, {_LINKS}, n AS (SELECT idx, path, sha FROM snap JOIN revs USING (rev)), ch AS (SELECT a.idx, a.path FROM n a LEFT JOIN n b ON b.path = a.path AND b.idx = a.idx + 1 WHERE a.sha IS DISTINCT FROM b.sha)
@@ -214,9 +229,17 @@ ORACLES = {
 
 def _late() -> dict[str, str]:
     direct = _direct()
+    own = "calls AS (SELECT rev, src, dst, max(rank) AS rank FROM l WHERE kind = 'CALLS' AND src <> dst GROUP BY ALL HAVING max(rank) IS NOT NULL), own AS (SELECT rev, id, effect, max(rank) AS rank FROM direct GROUP BY ALL)"
+    spread = "w AS (SELECT rev, id, effect, rank FROM own UNION SELECT c.rev, c.src, w.effect, least(w.rank, c.rank) FROM w JOIN calls c ON c.rev = w.rev AND c.dst = w.id), best AS (SELECT w.rev, w.id, w.effect, coalesce(any_value(own.rank), max(w.rank)) AS rank, any_value(own.rank) IS NOT NULL AS direct FROM w LEFT JOIN own USING (rev, id, effect) GROUP BY ALL)"
+    history = f"""WITH RECURSIVE {_STATE}, {_REFS}, {direct}, {own}, {spread}, {_MOVES}, moves AS (SELECT idx, removed, added FROM p WHERE n_removed = 1 AND n_added = 1 AND body_hash IS NOT NULL), last AS (SELECT max(idx) AS i FROM revs),
+            ln AS (SELECT DISTINCT idx, src, dst, coalesce(kind, '') AS kind FROM strong JOIN revs USING (rev)),
+            lb AS (SELECT DISTINCT n.idx + 1 AS idx, coalesce(a.added, n.src) AS src, coalesce(b.added, n.dst) AS dst, kind FROM ln n LEFT JOIN moves a ON a.idx = n.idx + 1 AND a.removed = n.src LEFT JOIN moves b ON b.idx = n.idx + 1 AND b.removed = n.dst, last WHERE n.idx < last.i),
+            le AS (SELECT *, 'added' AS change FROM (SELECT * FROM ln WHERE idx > 0 EXCEPT SELECT * FROM lb) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM lb EXCEPT SELECT * FROM ln)),
+            en AS (SELECT DISTINCT idx, id, effect FROM best JOIN revs USING (rev) WHERE rank > 0), eb AS (SELECT DISTINCT n.idx + 1 AS idx, coalesce(a.added, n.id) AS id, effect FROM en n LEFT JOIN moves a ON a.idx = n.idx + 1 AND a.removed = n.id, last WHERE n.idx < last.i),
+            ee AS (SELECT *, 'added' AS change FROM (SELECT * FROM en WHERE idx > 0 EXCEPT SELECT * FROM eb) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM eb EXCEPT SELECT * FROM en))"""
     return {
         "direct_effects": f"WITH {_TREE}, {_REFS}, {direct} SELECT * FROM direct",
-        "glob_best_match": f"WITH {_REFS}, c AS (SELECT DISTINCT coalesce(dotted, name) AS name FROM refs WHERE ref_kind = 'call'), h AS (SELECT name, {_glob('name')} AS h FROM c) SELECT name, h.effect AS effect, h.rank AS rank, h.match AS \"match\" FROM h WHERE h IS NOT NULL",
+        "glob_best_match": f"WITH {_REFS}, {_rules()} SELECT name, a.effect AS effect, a.rank AS rank, a.match AS \"match\" FROM ruled",
         "widest_path_effects": (wide := f"""WITH RECURSIVE {_TREE}, {_REFS}, {direct}, {_LINKS}, calls AS (SELECT rev, src, dst, max(rank) AS rank FROM l WHERE kind = 'CALLS' AND src <> dst GROUP BY ALL HAVING max(rank) IS NOT NULL), own AS (SELECT rev, id, effect, max(rank) AS rank FROM direct GROUP BY ALL),
             w AS (SELECT rev, id, effect, rank FROM own UNION SELECT c.rev, c.src, w.effect, least(w.rank, c.rank) FROM w JOIN calls c ON c.rev = w.rev AND c.dst = w.id),
             best AS (SELECT w.rev, w.id, w.effect, coalesce(any_value(own.rank), max(w.rank)) AS rank, any_value(own.rank) IS NOT NULL AS direct FROM w LEFT JOIN own USING (rev, id, effect) GROUP BY ALL)""")
@@ -234,9 +257,13 @@ def _late() -> dict[str, str]:
             SELECT w.rev, w.id, w.effect, coalesce(any_value(own.rank), max(w.rank)) AS rank, any_value(own.rank) IS NOT NULL AS direct FROM w LEFT JOIN own USING (rev, id, effect) WHERE NOT starts_with(w.id, '*') GROUP BY ALL""",
         "islands_with_hubs": hubs + f""", all_l AS (SELECT rev, src, dst FROM l UNION ALL SELECT rev, src, dst FROM hub), {_SYM.replace("FROM l ", "FROM all_l ")}, {_CC}
             SELECT rev, id, min(id) OVER (PARTITION BY rev, island) AS island FROM cc WHERE NOT starts_with(id, '*')""",
-        "symbol_history": f"""WITH {_STATE}, bd AS (SELECT idx, item, '' AS target, content.b AS content FROM content), ln AS (SELECT idx, src AS item, dst || '|' || kind AS target, 1 AS content FROM strong JOIN revs USING (rev)), be AS ({_diff('bd', 'body')}), le AS ({_diff('ln', 'edges')}),
-            e AS (SELECT idx, item AS id, 'body' AS what FROM be WHERE change = 'changed' UNION ALL SELECT idx, item, 'calls_' || change FROM le UNION ALL SELECT idx, string_split(target, '|')[1], 'dependents_' || change FROM le)
-            SELECT rev, id, {", ".join(f"count(*) FILTER (what = '{w}') AS {w}" for w in ("body", "calls_added", "calls_removed", "dependents_added", "dependents_removed"))} FROM e JOIN revs USING (idx) GROUP BY rev, id""",
+        "symbol_history": f"""{history}, bd AS (SELECT idx, item, '' AS target, content.b AS content FROM content), be AS ({_diff('bd', 'body')}),
+            e AS (SELECT idx, item AS id, 'body' AS what FROM be WHERE change = 'changed' UNION ALL SELECT idx, src, 'calls_' || change FROM le UNION ALL SELECT idx, dst, 'dependents_' || change FROM le UNION ALL SELECT idx, id, 'effects_' || change FROM ee
+                UNION ALL SELECT idx, added, 'moved' FROM moves UNION ALL SELECT DISTINCT g.idx, g.id, 'unsure' FROM g SEMI JOIN (SELECT * FROM p WHERE n_removed > 0 AND n_added > 0 AND n_removed + n_added > 2 AND body_hash IS NOT NULL) u ON u.idx = g.idx AND u.kind = g.kind AND u.body_hash = g.body_hash),
+            n AS (SELECT idx, id, {", ".join(f"count(*) FILTER (what = '{w}') AS {w}" for w in ("body", "calls_added", "calls_removed", "dependents_added", "dependents_removed", "effects_added", "effects_removed"))}, bool_or(what = 'unsure') AS lineage_ambiguous FROM e GROUP BY ALL)
+            SELECT n.* EXCLUDE (idx), m.removed AS moved_from, rev FROM n LEFT JOIN moves m ON m.idx = n.idx AND m.added = n.id JOIN revs ON revs.idx = n.idx""",
+        "history_steps": f"""{history}, events AS (SELECT idx, 'symbols_' || change AS c FROM ({_diff('content', 'symbols')}) UNION ALL SELECT idx, 'edges_' || change FROM le UNION ALL SELECT idx, 'effects_' || change FROM ee UNION ALL SELECT idx, 'moves' FROM moves)
+            SELECT rev, {", ".join(f"count(*) FILTER (c = '{c}') AS {c}" for c in ("symbols_added", "symbols_removed", "symbols_changed", "edges_added", "edges_removed", "effects_added", "effects_removed", "moves"))} FROM events JOIN revs USING (idx) GROUP BY rev""",
         "class_ancestors": f"""WITH RECURSIVE {_LINKS}, up AS (SELECT DISTINCT rev, src AS sub, dst AS base FROM l WHERE kind = 'INHERITS' AND confidence = 'HIGH' AND src <> dst),
             a(rev, cls, anc, depth) USING KEY (rev, cls, anc) AS (SELECT rev, c, c, 0 FROM (SELECT rev, sub AS c FROM up UNION SELECT rev, base FROM up) UNION
                 SELECT DISTINCT a.rev, a.cls, up.base, a.depth + 1 FROM a JOIN up ON up.rev = a.rev AND up.sub = a.anc WHERE (a.rev, a.cls, up.base) NOT IN (SELECT (rev, cls, anc) FROM recurring.a))
