@@ -86,6 +86,11 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_sized(spark, d), "doc_id", "source", "tokens", table(spark, d, "source_targets"))[1]
 
 
+def p8_method(spark: SparkSession, d: str) -> DataFrame:
+    """Levels and bands by the dichotomous Rasch model alone: whether a word occurs, not in which band."""
+    return readability.occurrence_levels(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "level_labels"))
+
+
 def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     """Reading levels and band shares of English documents."""
     return readability.reading_levels(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "level_labels"))
@@ -98,7 +103,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_frequencies": p4_frequencies, "p5_found": p5_found, "p5_verdicts": p5_verdicts,
-    "p6_containers": p6_containers, "p6_summary": p6_summary, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_levels": p8_levels,
+    "p6_containers": p6_containers, "p6_summary": p6_summary, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_method": p8_method, "p8_found": p8_found, "p8_levels": p8_levels,
 }
 
 _GROUPS = """

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+
 from graphmill.llm import prose, readability
 
 EASY = "the cat sat on a mat and it was fun we run to see my dog he has one red box".split()
@@ -28,8 +30,42 @@ def test_held_out_bands(spark):
     frames = spark.createDataFrame([(*d, "x") for d in docs + extra], "doc_id bigint, text string, band string"), spark.createDataFrame(labels + labels[:5], "doc_id bigint, rater string, band int")
     got = {r.doc_id: r.band for r in readability.reading_levels(*frames).collect()}
     assert got == bands
-    joined = {r.doc_id: r.band for r in readability.reading_levels(*frames, rounds=1, max_shared_words=0).collect()}
-    assert joined == bands
+    blocks = {r.doc_id: (r.band, round(r.theta, 6)) for r in readability.reading_levels(*frames, block_terms=100).collect()}
+    assert {d: b for d, (b, _) in blocks.items()} == bands
+    assert blocks == {r.doc_id: (r.band, round(r.theta, 6)) for r in readability.reading_levels(*frames).collect()}
+
+
+def test_documents_of_words_of_their_own_keep_their_row(spark):
+    docs, bands = corpus(60)
+    alone = (9000, " ".join(f"the{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}x" for i in range(60)))
+    labels = [(i, "r", b) for i, b in bands.items() if i % 2 == 0]
+    frames = spark.createDataFrame([*docs, alone], "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, rater string, band int")
+    for size in (40, 250_000):
+        got = {r.doc_id: r for r in readability.reading_levels(*frames, block_terms=size).collect()}
+        assert got.keys() == {*bands, 9000} and got[9000].theta == 0 and got[9000].n_words == 60
+
+
+def test_packed_numbers_come_back():
+    for values in ([], [0], [255, 0, 3], [256, 65_535, 0, 1], [70_000, 5, 5]):
+        data, size = readability._pack(np.array(values, np.int64))
+        assert readability._unpack(data, size, len(values)).tolist() == values and size == (4 if max(values, default=0) > 65_535 else 2 if max(values, default=0) > 255 else 1)
+
+
+def test_occurrence_model_fits_margins_and_measures_length(spark):
+    draw = random.Random(5)
+    words = [f"the{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    docs = [(i, " ".join(draw.sample(words, 40 + i % 20))) for i in range(60)]
+    got = readability.occurrence_levels(spark.createDataFrame([*docs, (None, "x")], "doc_id bigint, text string"), spark.createDataFrame([(0, "r", 1), (19, "r", 3)], "doc_id bigint, rater string, band int"), block_terms=500).collect()
+    assert {r.doc_id: r.score for r in got} == {i: 40 + i % 20 for i, _ in docs}
+    ordered = sorted(got, key=lambda r: r.score)
+    assert all(a.level < b.level if a.score < b.score else a.level == b.level for a, b in zip(ordered, ordered[1:]))
+    # As many words are expected to occur as do, over all documents and words.
+    frequency = Counter(w for _, t in docs for w in set(t.split()))
+    level = {r.score: r.level for r in got}
+    for w, n in list(frequency.items())[:5]:
+        b = np.linspace(-20, 20, 4001)
+        expected = sum(1 / (1 + np.exp(-(level[40 + i % 20] - b))) for i in range(60))
+        assert abs(np.interp(n, expected[::-1], b[::-1])) < 10
 
 
 def test_without_labels_or_documents(spark):
