@@ -7,50 +7,43 @@ round, whatever the shape of the graph, so there are O(log n) rounds of total
 size O(edges). The rounds' vertex maps are then composed from the last to the
 first.
 
-The order of a round is a bijection of 64-bit integers (XOR, rotation, XOR
-shift), so a minimum over plain longs gives the chosen neighbour back: the
-aggregation stays a hash aggregation that combines map-side, and a vertex with
-a third of all edges is no burden.
+The order of a round is a bijection of 64-bit integers (a Feistel network of
+two rounds of hashing), so a minimum over plain longs gives the chosen
+neighbour back: the aggregation stays a hash aggregation that combines
+map-side, and a vertex with a third of all edges is no burden.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.workspace import broadcast_if_small, cut, drop, rows_of
-
-#: A map of vertices (two or three longs a row, some 50 MB as a hash table) is broadcast up to so many rows.
-SLIM_ROWS = 500_000
+from graphmill.workspace import BROADCAST_ROWS, broadcast_if_small, cut, drop, rows_of
 
 #: Revisions per 64-bit mask.
 BLOCK = 60
 
-
-def _order(turn: int) -> tuple[int, int, int]:
-    draw = random.Random(7919 * (turn + 1))
-    return draw.getrandbits(63), draw.randrange(1, 63), draw.randrange(32, 47)
+_HALF = (1 << 32) - 1
 
 
-def _rotate(x: Column, by: int) -> Column:
-    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
+def _scrambled(half: Column, turn: int, step: int) -> Column:
+    return F.xxhash64(half, F.lit(2 * turn + step)).bitwiseAND(F.lit(_HALF))
 
 
 def place(x: Column, turn: int) -> Column:
     """Position of vertex ``x`` in the order of a round."""
-    salt, turned, shifted = _order(turn)
-    x = _rotate(x.bitwiseXOR(F.lit(salt)), turned)
-    return x.bitwiseXOR(F.shiftleft(x, shifted))  # undone by itself, as the shift is 32 at least
+    low = x.bitwiseAND(F.lit(_HALF))
+    high = F.shiftrightunsigned(x, 32).bitwiseXOR(_scrambled(low, turn, 0))
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseXOR(_scrambled(high, turn, 1)))
 
 
 def at_place(y: Column, turn: int) -> Column:
     """The vertex at a position: the inverse of :func:`place`."""
-    salt, turned, shifted = _order(turn)
-    y = y.bitwiseXOR(F.shiftleft(y, shifted))
-    return _rotate(y, 64 - turned).bitwiseXOR(F.lit(salt))
+    high = F.shiftrightunsigned(y, 32)
+    low = y.bitwiseAND(F.lit(_HALF)).bitwiseXOR(_scrambled(high, turn, 1))
+    return F.shiftleft(high.bitwiseXOR(_scrambled(low, turn, 0)), 32).bitwiseOR(low)
 
 
 def _relabel(edges: DataFrame, hooks: DataFrame, by: list[str], end: str) -> DataFrame:
@@ -65,11 +58,12 @@ def _ordered(edges: DataFrame, by: list[str]) -> DataFrame:
     return edges.where("a != b").select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def contract(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def contract(edges: DataFrame, by: Sequence[str] = (), few: int = BROADCAST_ROWS) -> DataFrame:
     """Connected components of ``edges`` (``by``, ``a``, ``b``; longs), separately for each value of ``by``.
 
     Loops, repeats and direction do not matter; rows with a null are ignored.
 
+    :param few: vertex maps counted to have at most so many rows are broadcast, larger ones are joined by shuffles
     :returns: ``by``, ``v``, ``root``: every vertex of an edge between two different vertices,
         and a vertex of its component, the same for all. No rows for no edges.
     """
@@ -82,7 +76,7 @@ def contract(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         first = near.groupBy(*by, "v").agg(F.min("h").alias("h"))
         hooks = cut(first.select(*by, "v", at_place(F.least("h", place(F.col("v"), turn)), turn).alias("r")))
         maps.append(hooks)
-        lookup = broadcast_if_small(hooks, SLIM_ROWS)
+        lookup = broadcast_if_small(hooks, few)
         smaller = cut(_ordered(_relabel(_relabel(edges, lookup, by, "a"), lookup, by, "b"), by))
         drop(edges)
         edges, turn = smaller, turn + 1
@@ -92,18 +86,14 @@ def contract(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     roots = maps.pop().withColumnRenamed("r", "root")
     while maps:
         hooks = maps.pop()
-        later = broadcast_if_small(roots, SLIM_ROWS).select(*by, F.col("v").alias("r"), "root")
+        later = broadcast_if_small(roots, few).select(*by, F.col("v").alias("r"), "root")
         longer = cut(hooks.join(later, [*by, "r"], "left").select(*by, "v", F.coalesce("root", "r").alias("root")))
         drop(hooks, roots)
         roots = longer
     return roots
 
 
-def _bits(mask: str) -> Column:
-    return F.explode(F.expr(f"filter(sequence(0, {BLOCK - 1}), k -> ({mask} & shiftleft(1L, k)) != 0)"))
-
-
-def linked_groups(links: DataFrame, group: str, left: str, right: str, node_id: Column | None = None) -> DataFrame:
+def linked_groups(links: DataFrame, group: str, left: str, right: str, node_id: Column | None = None, few: int = BROADCAST_ROWS) -> DataFrame:
     """Per ``group`` (a snapshot), every node linked to another one, with the smallest node reachable over links in either direction.
 
     Snapshots repeat most of each other's links, so a link is kept once with a
@@ -111,11 +101,13 @@ def linked_groups(links: DataFrame, group: str, left: str, right: str, node_id:
     contracted once; only the others are then contracted snapshot by snapshot,
     between the groups found so far. Snapshots are taken 60 to a mask.
 
-    Rows with a null group, a null or empty node, or a node linked to itself are
-    no links. Nodes are compared by their 64-bit hashes; should two nodes have
-    the same hash, which is looked for, consecutive numbers take the hashes' place.
+    Links are shuffled as pairs of 64-bit hashes of their nodes; the nodes' names travel once
+    per node. Should two nodes have the same hash, which is looked for, consecutive numbers take the hashes' place.
+
+    Rows with a null group, a null or empty node, or a node linked to itself are no links.
 
     :param node_id: for tests, another hash of column ``node``
+    :param few: see :func:`contract`
     :returns: ``group``, ``node_id``, ``group_id``
     """
     rows = links.where(F.col(group).isNotNull() & (F.col(left) != "") & (F.col(right) != "") & (F.col(left) != F.col(right)))
@@ -125,33 +117,40 @@ def linked_groups(links: DataFrame, group: str, left: str, right: str, node_id:
     snapshots = cut(numbered.select("g", F.floor(F.col("i") / BLOCK).cast("int").alias("block"), (F.col("i") % BLOCK).cast("int").alias("k")))
     small = broadcast_if_small(snapshots)
     bit = F.expr("shiftleft(1L, k)")
-    pairs = cut(rows.join(small, "g").groupBy("block", "src", "dst").agg(F.bit_or(bit).alias("mask")))
-    whole = broadcast_if_small(snapshots.groupBy("block").agg(F.bit_or(bit).alias("whole")))
+    placed = rows.join(small, "g")
 
-    ends = pairs.select("block", "mask", F.explode(F.array("src", "dst")).alias("node"))
-    nodes = cut(ends.groupBy("block", "node").agg(F.bit_or("mask").alias("mask")).withColumn("id", F.xxhash64("node") if node_id is None else node_id))
-    identified = pairs.withColumns({"a": F.xxhash64("src"), "b": F.xxhash64("dst")})
+    named = placed.select("block", "k", F.explode(F.array("src", "dst")).alias("node")).groupBy("block", "node").agg(F.bit_or(bit).alias("mask"))
+    nodes = cut(named.withColumn("id", F.xxhash64("node") if node_id is None else node_id))
+    a, b = F.xxhash64("src"), F.xxhash64("dst")
     if node_id is not None or not nodes.groupBy("block", "id").count().where("count > 1").isEmpty():
         nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()))
         number = nodes.select("block", "node", "id")
-        identified = pairs.join(number.withColumnsRenamed({"node": "src", "id": "a"}), ["block", "src"]).join(number.withColumnsRenamed({"node": "dst", "id": "b"}), ["block", "dst"])
-    identified = identified.join(whole, "block").select("block", "a", "b", "mask", (F.col("mask") == F.col("whole")).alias("everywhere"))
+        placed = placed.join(number.withColumnsRenamed({"node": "src", "id": "a"}), ["block", "src"]).join(number.withColumnsRenamed({"node": "dst", "id": "b"}), ["block", "dst"])
+        a, b = F.col("a"), F.col("b")
+    pairs = cut(placed.select("block", "k", F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).groupBy("block", "a", "b").agg(F.bit_or(bit).alias("mask")))
+    whole = broadcast_if_small(snapshots.groupBy("block").agg(F.bit_or(bit).alias("whole")))
+    identified = pairs.join(whole, "block").select("block", "a", "b", "mask", (F.col("mask") == F.col("whole")).alias("everywhere"))
 
-    common = contract(identified.where("everywhere"), ["block"])
-    known = broadcast_if_small(common, SLIM_ROWS)
+    common = contract(identified.where("everywhere"), ["block"], few)
+    known = broadcast_if_small(common, few)
     rest = identified.where("not everywhere").select("block", "a", "b", "mask")
     for end in ("a", "b"):
         rest = rest.join(known.select("block", F.col("v").alias(end), "root"), ["block", end], "left").withColumn(end, F.coalesce("root", end)).drop("root")
     rest = rest.where("a != b").groupBy("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.bit_or("mask").alias("mask"))
-    single = contract(rest.select("block", "a", "b", _bits("mask").alias("k")), ["block", "k"])
+    at = (F.col("block") * BLOCK + F.col("k")).alias("at")
+    single = contract(rest.select("block", "a", "b", _bits("mask").alias("k")).select(at, "a", "b"), ["at"], few)
 
     rooted = cut(nodes.join(known.select("block", F.col("v").alias("id"), "root"), ["block", "id"], "left").select("block", "node", "mask", F.coalesce("root", "id").alias("root")))
     # Groups of the common links are in all snapshots or in none, other nodes by their own mask.
-    parts = rooted.groupBy("block", "root").agg(F.min("node").alias("least"), F.bit_or("mask").alias("mask")).select("block", "root", "least", _bits("mask").alias("k"))
-    joined = cut(parts.join(broadcast_if_small(single, SLIM_ROWS).select("block", "k", F.col("v").alias("root"), F.col("root").alias("top")), ["block", "k", "root"], "left").withColumn("top", F.coalesce("top", "root")))
-    names = joined.groupBy("block", "k", "top").agg(F.min("least").alias("group_id"))
-    of_root = joined.join(names, ["block", "k", "top"]).groupBy("block", "root").agg(F.collect_list(F.struct("k", "group_id")).alias("groups"))
-    out = rooted.join(broadcast_if_small(cut(of_root), 20_000), ["block", "root"]).select("block", "node", F.explode("groups").alias("x"))
+    parts = rooted.groupBy("block", "root").agg(F.min("node").alias("least"), F.bit_or("mask").alias("mask")).select("block", "root", "least", _bits("mask").alias("k")).withColumn("at", at)
+    joined = cut(parts.join(broadcast_if_small(single, few).select("at", F.col("v").alias("root"), F.col("root").alias("top")), ["at", "root"], "left").withColumn("top", F.coalesce("top", "root")))
+    names = joined.groupBy("at", "top").agg(F.min("least").alias("group_id"))
+    of_root = joined.join(names, ["at", "top"]).groupBy("block", "root").agg(F.collect_list(F.struct("k", "group_id")).alias("groups"))
+    out = rooted.join(of_root, ["block", "root"]).select("block", "node", F.explode("groups").alias("x"))
     out = out.select("block", F.col("x.k").alias("k"), F.col("node").alias("node_id"), F.col("x.group_id").alias("group_id"))
     drop(pairs)
     return out.join(small, ["block", "k"]).select(F.col("g").alias(group), "node_id", "group_id")
+
+
+def _bits(mask: str) -> Column:
+    return F.explode(F.expr(f"filter(sequence(0, {BLOCK - 1}), k -> ({mask} & shiftleft(1L, k)) != 0)"))

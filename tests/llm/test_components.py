@@ -70,10 +70,22 @@ def test_many_snapshots_take_several_masks(spark):
     assert rows(components.linked_groups(df, "rev", "src", "dst")) == brute(links)
 
 
-def test_maps_need_no_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(components, "SLIM_ROWS", 0)
+def test_consecutive_numbers_are_scattered(spark):
+    firsts = set()
+    for turn in range(4):
+        order = [r.v for r in spark.range(64).select(F.col("id").alias("v")).orderBy(components.place(F.col("v"), turn)).collect()]
+        steps = sum(abs(a - b) == 1 for a, b in zip(order, order[1:]))
+        firsts.add(order[0])
+        assert steps < 12, order
+    assert len(firsts) > 1
+
+
+def test_maps_need_no_broadcast(spark):
+    links = random_links(4)
+    df = spark.createDataFrame(links, "rev string, src string, dst string")
+    assert rows(components.linked_groups(df, "rev", "src", "dst", few=0)) == brute(links)
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 101), (None, 3)], "a bigint, b bigint")
-    roots = {r.v: r.root for r in components.contract(edges).collect()}
+    roots = {r.v: r.root for r in components.contract(edges, few=0).collect()}
     assert len(roots) == 33 and len(set(roots.values())) == 2 and roots[0] == roots[30] != roots[100] == roots[101]
 
 
