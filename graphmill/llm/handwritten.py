@@ -15,43 +15,48 @@ from graphmill.workspace import broadcast_if_small, cut
 
 #: Limits by file extension; "" holds for all that a language doesn't set itself.
 #: A text is minified if its punctuation stands without blanks (``tight``) or most names have
-#: one or two letters, or if its lines are long on average and hardly a blank is in it; data, if most lines
-#: hold only literals, or long encoded runs or numerals take up much of it; and without a header it is
-#: generated, if it is of some length and six line shapes make up most of it.
+#: one or two letters, or if its lines are long, the longest and on average, and hardly a blank is in it; data, if most lines
+#: hold only literals, if long encoded runs or numerals take up much of it, or if it is letters and digits with
+#: hardly a blank; and without a header it is generated, if it is of some length and six line shapes make up most of it.
 LIMITS: dict[str, dict[str, float]] = {
-    "": {"tight": 0.8, "short_names": 0.55, "mean_line": 250, "space": 0.12, "literal_lines": 0.7, "encoded": 0.5, "number_density": 0.4, "repeat": 0.8, "repeat_lines": 24},
+    "": {"tight": 0.8, "short_names": 0.55, "mean_line": 250, "max_line": 500, "space": 0.12, "alnum": 0.83, "literal_lines": 0.7, "encoded": 0.5, "number_density": 0.4, "repeat": 0.8, "repeat_lines": 24},
     "py": {"repeat": 0.73},
-    "js": {"mean_line": 110, "short_names": 0.5},
-    "ts": {"mean_line": 110},
-    "css": {"mean_line": 110, "repeat": 0.97},
+    "js": {"mean_line": 110, "max_line": 300, "short_names": 0.5},
+    "mjs": {"mean_line": 110, "max_line": 300, "short_names": 0.5},
+    "ts": {"mean_line": 110, "max_line": 300},
+    "css": {"mean_line": 110, "max_line": 300, "tight": 0.9, "repeat": 0.97},
     "sql": {"repeat": 0.97, "literal_lines": 0.8},
 }
 
 #: Share of a text's lines that must stand in third-party definitions for a copy, and how many.
 COPY_SHARE, COPY_LINES = 0.8, 5
 
-_MEASURES = {"n_lines": "int", "max_line": "int", "mean_line": "double", "space": "double", "alnum": "double", "number_density": "double", "encoded": "double", "literal_lines": "double", "tight": "double", "short_names": "double", "repeat": "double", "generated_header": "boolean", "foreign_header": "boolean"}
+_MEASURES = {"n_lines": "int", "max_line": "int", "mean_line": "double", "space": "double", "alnum": "double", "number_density": "double", "encoded": "double", "literal_lines": "double", "tight": "double", "short_names": "double", "repeat": "double", "generated_header": "boolean"}
 
 
 def text_statistics(texts: DataFrame) -> DataFrame:
     """Layout statistics of every text of ``texts`` (``blob_sha``, ``content``), whole, whatever its length.
 
-    ``blocks`` are hashes of its definitions with their lines. A null text counts as empty; of several rows
-    of a sha the greatest content counts.
+    ``blocks`` are hashes of its definitions with their lines. A null text counts as empty; of several different texts
+    of a sha the one with the greatest hash counts, blank ones last. Texts are measured where they are read and never shuffled.
     """
-    schema = "blob_sha string, " + ", ".join(f"{k} {t}" for k, t in _MEASURES.items()) + ", blocks array<struct<hash:bigint,lines:int>>"
+    schema = "blob_sha string, content_hash bigint, " + ", ".join(f"{k} {t}" for k, t in _MEASURES.items()) + ", blocks array<struct<hash:bigint,lines:int>>"
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for sha, text in zip(batch["blob_sha"], batch["content"]):
-                text = text or ""
+            for sha, mark, text in zip(batch["blob_sha"], batch["content_hash"], batch["content"]):
                 blocks = [{"hash": int.from_bytes(hashlib.blake2b(b.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True), "lines": n} for b, n in layout.code_blocks(text)]
-                rows.append({"blob_sha": sha, **layout.statistics(text), "blocks": blocks})
-            yield pd.DataFrame(rows, columns=["blob_sha", *_MEASURES, "blocks"])
+                rows.append({"blob_sha": sha, "content_hash": mark, **layout.statistics(text), "blocks": blocks})
+            yield pd.DataFrame(rows, columns=["blob_sha", "content_hash", *_MEASURES, "blocks"])
 
-    once = texts.where(plain_sha(F.col("blob_sha")).isNotNull()).groupBy(plain_sha(F.col("blob_sha")).alias("blob_sha")).agg(F.max("content").alias("content"))
-    return once.mapInPandas(measure, schema)
+    content = F.coalesce("content", F.lit(""))
+    known = texts.where(plain_sha(F.col("blob_sha")).isNotNull()).select(plain_sha(F.col("blob_sha")).alias("blob_sha"), F.xxhash64(content).alias("content_hash"), content.alias("content"))
+    measured = cut(known.mapInPandas(measure, schema))
+    if not measured.groupBy("blob_sha").count().where("count > 1").isEmpty():
+        kept = [c for c in measured.columns if c != "blob_sha"]
+        measured = cut(measured.groupBy("blob_sha").agg(F.max_by(F.struct(*kept), F.struct(F.col("n_lines") > 0, "content_hash")).alias("x")).select("blob_sha", "x.*"))
+    return measured.drop("content_hash")
 
 
 def _limit(extension: Column, name: str) -> Column:
@@ -72,19 +77,18 @@ def classify_files(tree: DataFrame, texts: DataFrame) -> DataFrame:
     """Every distinct (``path`` in plain spelling, ``blob_sha`` in lower case) of ``tree`` with its measures and ``verdict``.
 
     ``verdict`` is ``vendored``, ``generated``, ``minified``, ``data``, ``hand`` or ``empty``, decided in the order
-    empty, vendored, generated, minified, data. Vendored are files under a folder of third-party code, under a header
-    that names another origin, and copies of such files elsewhere: at least 0.8 of the lines in definitions
-    that also stand in third-party files. A text that ``texts`` lacks is judged by its path alone. Rows without path or
+    empty, vendored, generated, minified, data. Vendored are files under a folder of third-party code, and copies of such
+    files elsewhere, whatever their header: at least 0.8 of the lines in definitions that also stand in third-party files. Who
+    holds the copyright decides nothing. A text that ``texts`` lacks is judged by its path alone. Rows without path or
     sha are left out; empty tables give no rows.
     """
     files = tree.where(F.col("path").isNotNull() & plain_sha(F.col("blob_sha")).isNotNull()).select(plain_path(F.col("path")).alias("path"), plain_sha(F.col("blob_sha")).alias("blob_sha")).distinct()
     files = cut(files.withColumn("on_vendor_path", F.coalesce(_on_vendor_path(F.col("path")), F.lit(False))))
-    measured = cut(text_statistics(texts))
+    measured = text_statistics(texts)
 
     foreign = files.where("on_vendor_path").select("blob_sha").distinct()
-    of_text = measured.select("blob_sha", "foreign_header", F.explode("blocks").alias("b")).select("blob_sha", "foreign_header", "b.hash", "b.lines")
-    by_path = of_text.join(foreign, "blob_sha", "left_semi").select("hash")
-    known = cut(by_path.union(of_text.where("foreign_header").select("hash")).distinct())
+    of_text = measured.select("blob_sha", F.explode("blocks").alias("b")).select("blob_sha", "b.hash", "b.lines")
+    known = cut(of_text.join(foreign, "blob_sha", "left_semi").select("hash").distinct())
     shared = of_text.join(broadcast_if_small(known).withColumn("there", F.lit(True)), "hash", "left").groupBy("blob_sha").agg(
         F.sum("lines").alias("in_blocks"), F.coalesce(F.sum(F.when(F.col("there"), F.col("lines"))), F.lit(0)).alias("in_foreign")
     )
@@ -95,16 +99,17 @@ def classify_files(tree: DataFrame, texts: DataFrame) -> DataFrame:
     copied = (F.col("in_foreign") >= COPY_SHARE * F.col("in_blocks")) & (F.col("in_foreign") >= COPY_LINES)
     regular = over("repeat") & (F.col("n_lines") >= _limit(F.col("extension"), "repeat_lines"))
     named = F.col("stem").rlike(layout.GENERATED_STEMS) & (F.col("repeat") >= 0.5)
-    dense = over("mean_line") & (F.col("space") < _limit(F.col("extension"), "space"))
-    data = over("literal_lines") | over("encoded") | over("number_density")
+    hardly_a_blank = F.col("space") < _limit(F.col("extension"), "space")
+    dense = over("mean_line") & over("max_line") & hardly_a_blank
+    data = over("literal_lines") | over("encoded") | over("number_density") | (over("alnum") & hardly_a_blank)
     minified = over("tight") | (over("short_names") & ~data) | dense
     verdict = (
         F.when(F.col("n_lines") == 0, "empty")
-        .when(F.col("on_vendor_path") | F.col("foreign_header") | copied, "vendored")
+        .when(F.col("on_vendor_path") | copied, "vendored")
         .when(F.col("generated_header") | named, "generated")
         .when(minified, "minified")
         .when(data, "data")
         .when(regular, "generated")
         .otherwise("hand")
     )
-    return x.select("path", "blob_sha", verdict.alias("verdict"), *[c for c in _MEASURES if not c.endswith("header")], "generated_header", "foreign_header", "on_vendor_path", "in_blocks", "in_foreign")
+    return x.select("path", "blob_sha", verdict.alias("verdict"), *[c for c in _MEASURES if not c.endswith("header")], "generated_header", "on_vendor_path", "in_blocks", "in_foreign")
