@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.workspace import broadcast_if_small, cut
+from graphmill.workspace import broadcast_if_small, cut, drop
 
 #: Buckets per round: 2 to this power; a round settles as many bits of the hash.
 BITS_PER_ROUND = 10
@@ -44,10 +44,13 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     while True:
         state = broadcast_if_small(settled)
         bucket = F.shiftright("place", shift)
-        rows = sized.join(state, "source")
-        if not first:
-            rows = rows.where(F.shiftright("place", shift + BITS_PER_ROUND) == F.col("prefix"))
-        histogram = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
+        if not first:  # what is left are the boundary buckets
+            inside = F.shiftright("place", shift + BITS_PER_ROUND) == F.col("prefix")
+            left = cut(sized.join(state.select("source", "prefix"), "source").where(inside).select("source", "place", "size"))
+            if shift < HASH_BITS - 2 * BITS_PER_ROUND:
+                drop(sized)  # those of the round before
+            sized = left
+        histogram = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
         running = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
         cumulated = histogram.join(state, "source").withColumn("upto", F.col("taken") + running)
         # The boundary: the first bucket that does not fit whole.

@@ -21,6 +21,29 @@ def test_a_worker_never_overfills(lengths):
     assert len(used) <= 1.7 * lengths.sum() / 100 + packing.CLASSES
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=120))
+def test_fixed_counts_alone(lengths):
+    lengths = np.array(sorted(lengths, reverse=True))
+    numbers = packing._pack_counts(lengths, 100, packing.CLASSES)
+    used = np.bincount(numbers, weights=lengths)
+    assert used.max() <= 100 and (used > 0).all()
+    kind = np.minimum(100 // lengths, packing.CLASSES)
+    for j in range(1, packing.CLASSES):
+        sizes = np.bincount(numbers[kind == j])
+        assert sorted(sizes[sizes > 0])[1:] == [j] * (np.count_nonzero(sizes) - 1)
+        assert not set(numbers[kind == j]) & set(numbers[kind != j])
+
+
+def test_an_item_with_many_copies(spark):
+    rows = spark.range(25_000).selectExpr("7L as doc", "30 as tokens").union(spark.createDataFrame([(8, 60)], "doc bigint, tokens int"))
+    assert {tuple(r) for r in packing.pieces(rows, "doc", "tokens", 100).groupBy("item").count().collect()} == {(7, 25_000), (8, 1)}
+    assert packing.pieces(rows, "doc", "tokens", 100).select("item", "copy").distinct().count() == 25_001
+    for fill_up in (True, False):
+        packed = packing.harmonic_containers(rows, "doc", "tokens", 100, per_worker=5_000, fill_up=fill_up)
+        assert packed.count() == 25_001 and packed.groupBy("container_id").agg({"length": "sum"}).where("`sum(length)` > 100").isEmpty()
+
+
 @pytest.mark.parametrize("per_worker", [40, 10_000])
 def test_every_piece_is_packed_once(spark, per_worker):
     draw = random.Random(7)
