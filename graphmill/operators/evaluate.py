@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tools compared at once; more are refused.
-MAX_TOOLS = 1_000
-
 
 def classify_misses(misses: DataFrame, ladder: Sequence[tuple[str, Column]]) -> DataFrame:
     """``misses`` with ``why``: the first reason of the ladder that holds, else ``other``."""
@@ -25,28 +22,26 @@ def tool_report(answers: DataFrame, truth: DataFrame) -> DataFrame:
     :param answers: ``tool``, ``question``, ``item``; :param truth: ``question``, ``item``. Repeats count once. A question without true items has recall 1;
         a tool that returns nothing has a yield of 0.
     """
-    tools = answers.select("tool").distinct()
     true = truth.select("question", "item").distinct().withColumn("true", F.lit(1))
-    asked = truth.select("question").union(answers.select("question")).distinct()
-    given = answers.select("tool", "question", "item").distinct().withColumn("given", F.lit(1))
-    if rows := tools.limit(MAX_TOOLS + 1).count():
-        if rows > MAX_TOOLS:
-            raise ValueError(f"more than {MAX_TOOLS} tools")
-    # Every tool answers every question: tools are few, so the rows of the truth are repeated per tool, not joined.
-    names = F.array(*[F.lit(r.tool) for r in tools.limit(MAX_TOOLS).collect()])
-    wanted = true.withColumn("tool", F.explode(names))
-    items = wanted.join(given, ["tool", "question", "item"], "full").groupBy("tool", "question").agg(F.count("true").alias("true"), F.count("given").alias("given"), F.count(F.when(F.col("true") == F.col("given"), 1)).alias("hit"))
-    every = asked.withColumn("tool", F.explode(names)).join(items, ["tool", "question"], "left").na.fill(0)
+    given = answers.select("tool", "question", "item").distinct()
+    per_question = truth.select("question").union(answers.select("question")).distinct().join(true.groupBy("question").agg(F.count(F.lit(1)).alias("true")), "question", "left").na.fill(0)
+    whole = per_question.agg(F.count(F.lit(1)).alias("questions"), F.coalesce(F.sum("true"), F.lit(0)).alias("items"), F.count_if(F.col("true") == 0).alias("empty")).first()
+    # Only what a tool answers is a row; its other questions are known by their number: recall 1 where nothing was to be found, else 0.
+    answered = given.join(true, ["question", "item"], "left").groupBy("tool", "question").agg(F.count(F.lit(1)).alias("given"), F.count("true").alias("hit")).join(per_question, "question")
     recall = F.when(F.col("true") == 0, 1.0).otherwise(F.col("hit") / F.col("true"))
-    q = F.percentile(recall, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    total = lambda c: F.sum(c)
-    return every.groupBy("tool").agg(
-        F.count(F.lit(1)).alias("questions"),
-        F.when(total("true") == 0, 1.0).otherwise(total("hit") / total("true")).alias("recall"),
-        F.avg(recall).alias("mean_recall"),
-        q.alias("quartiles"),
-        F.count_if(recall == 1.0).alias("perfect"),
-        F.when(total("given") == 0, 0.0).otherwise(total("hit") / total("given")).alias("yield"),
+    rows = answered.select("tool", "given", "hit", "true", recall.alias("recall"))
+    sums = rows.groupBy("tool").agg(F.sum("given").alias("given"), F.sum("hit").alias("hit"), F.sum("recall").alias("sum"), F.count_if(F.col("recall") == 1.0).alias("perfect"), F.count_if(F.col("true") == 0).alias("of_empty"), F.count_if(F.col("true") > 0).alias("of_full"))
+    rest = sums.select("tool", F.explode(F.array(F.struct(F.lit(1.0).alias("recall"), (F.lit(whole.empty) - F.col("of_empty")).alias("n")), F.struct(F.lit(0.0).alias("recall"), (F.lit(whole.questions - whole.empty) - F.col("of_full")).alias("n")))).alias("x")).select("tool", "x.*").where("n > 0")
+    spread = rows.select("tool", "recall", F.lit(1).cast("long").alias("n")).unionByName(rest).groupBy("tool").agg(F.percentile("recall", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("quartiles"))
+    silent = F.lit(whole.empty) - F.col("of_empty")
+    return sums.join(spread, "tool").select(
+        "tool",
+        F.lit(whole.questions).cast("long").alias("questions"),
+        F.lit(1.0).alias("recall") if not whole["items"] else (F.col("hit") / F.lit(whole["items"])).alias("recall"),
+        ((F.col("sum") + silent) / F.lit(whole.questions)).alias("mean_recall"),
+        "quartiles",
+        (F.col("perfect") + silent).alias("perfect"),
+        (F.col("hit") / F.col("given")).alias("yield"),
     )
 
 

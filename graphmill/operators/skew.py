@@ -21,6 +21,9 @@ from graphmill.workspace import BROADCAST_ROWS, cut
 #: Buckets per key and round: 2 to this power.
 BITS_PER_ROUND = 12
 
+#: Bits of the map of open buckets: 2 to this power, in words of 64.
+MAP_BITS = 22
+
 
 def per_key_counts(df: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
     """Rows and distinct non-null members per key.
@@ -55,8 +58,9 @@ def exact_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Callable[
 
     Each round reads the observations once, keeps those in buckets that still
     hold an open rank, and counts them by 2^12 narrower buckets. The list of
-    open buckets is broadcast if it was counted to be small, else joined after
-    the histogram is aggregated, where no key is hot any more.
+    open buckets is broadcast if it was counted to be small. Beyond that a bit map of their hashes is,
+    whose size is fixed: it lets few other rows pass, and these go when the exact list is joined to
+    the aggregated histogram, where no key is hot any more.
     """
     keys = list(keys)
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("long").alias("__v"))
@@ -88,7 +92,7 @@ def exact_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Callable[
             kept = data.join(F.broadcast(lookup), same & (F.shiftright("__v", shift) == F.col("__kp")), "left_semi")
             histogram = _histogram(kept, keys, finer)
         else:
-            histogram = _histogram(data, keys, finer)
+            histogram = _histogram(_maybe_open(data, open_, keys, shift), keys, finer)
         histogram = histogram.withColumn("__p", F.shiftright("__b", shift - finer))
         right = open_.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__p").alias("__kp"), "__below", "__r", "n_values")
         joined = histogram.join(F.broadcast(right) if few else right, same & (F.col("__p") == F.col("__kp")))
@@ -96,6 +100,15 @@ def exact_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Callable[
         shift = finer
 
 
+def _maybe_open(data: DataFrame, open_: DataFrame, keys: list[str], shift: int) -> DataFrame:
+    """The observations whose bucket's hash is marked in a bit map of the open ones: all of these, and few others. The map has 2^16 words at most."""
+    place = lambda bucket: F.pmod(F.xxhash64(*keys, bucket), F.lit(1 << MAP_BITS))
+    marked = open_.select(place(F.col("__p")).alias("__at"))
+    bits = marked.groupBy(F.shiftright("__at", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__at & 63 as int))")).alias("__bits"))
+    rows = data.withColumn("__at", place(F.shiftright("__v", shift))).withColumn("__word", F.shiftright("__at", 6))
+    return rows.join(F.broadcast(bits), "__word").where(F.expr("(__bits & shiftleft(1L, cast(__at & 63 as int))) != 0")).select(*keys, "__v")
+
+
 def _histogram(data: DataFrame, keys: list[str], shift: int) -> DataFrame:
     bucket = F.shiftright("__v", shift) if shift else F.col("__v")
     return data.groupBy(*keys, bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
