@@ -20,7 +20,7 @@ from graphmill.workspace import cut, rows_of
 REEXPORTS = 8
 
 # Decorators that leave a call what it says.
-TRANSPARENT = ("staticmethod", "classmethod", "property", "abstractmethod", "override", "overload", "final")
+TRANSPARENT = ("abstractmethod", "classmethod", "final", "overload", "override", "property", "staticmethod")
 
 
 def import_map(tree: DataFrame, imports: DataFrame, roots: Sequence[str] = ()) -> DataFrame:
@@ -126,7 +126,8 @@ def resolve_parsed(tree: DataFrame, nodes: DataFrame, refs: DataFrame, imports:
     received = calls.where(F.col("name").rlike(r"^(self\.)?\w+\.\w+$") & ~F.col("name").rlike(r"^(self|cls)\.\w+$")).withColumns({"var": F.regexp_replace("name", r"\.\w+$", ""), "m": last_segment(F.col("name"))})
     at = F.when(F.startswith("var", F.lit("self.")), F.regexp_replace("scope", r"\.[^.]+$", "")).otherwise(F.col("scope"))
     scoped = received.withColumn("at", F.explode(F.array(F.struct(F.lit(0).alias("far"), at.alias("s")), F.struct(F.lit(1).alias("far"), F.lit("<module>").alias("s"))))).select(*received.columns, "at.far", F.col("at.s").alias("bs"))
-    meant = scoped.join(bindings.select("blob_sha", F.col("scope").alias("bs"), F.col("name").alias("var"), F.col("kind").alias("bkind"), "type"), ["blob_sha", "bs", "var"])
+    # A variable that may also be None is still what else it is bound to; None alone says nothing.
+    meant = scoped.join(bindings.where("kind != 'none'").select("blob_sha", F.col("scope").alias("bs"), F.col("name").alias("var"), F.col("kind").alias("bkind"), "type"), ["blob_sha", "bs", "var"])
     near = meant.groupBy(*key).agg(F.min("far").alias("far"))
     meant = meant.join(near, [*key, "far"]).select(*key, "m", "bkind", F.col("type").alias("name")).distinct()
     classes = plain.join(live.where("kind = 'class'").select("rev", F.col("id").alias("dst")), ["rev", "dst"], "left_semi").select("rev", "path", "name", F.col("dst").alias("cls"))

@@ -597,8 +597,10 @@ def _parsed(spark, d):
 
 
 def parse_definitions(spark, d):
-    """Definitions read from the delivered texts themselves."""
-    return python_source.relation(_parsed(spark, d), "nodes").drop("decorators")
+    """Definitions read from the delivered texts themselves: where they start, decorators included, and where those end that hold no other."""
+    x = cut(python_source.relation(_parsed(spark, d), "nodes"))
+    outer = x.select("blob_sha", names.parent_scope(F.col("qualname")).alias("qualname"), F.lit(True).alias("outer")).where("qualname is not null").distinct()
+    return x.join(outer, ["blob_sha", "qualname"], "left").select("blob_sha", "qualname", "kind", F.col("decorated_from").alias("line_start"), F.when(F.col("outer").isNull(), F.col("line_end")).alias("line_end"), "name_binding", "shadow_index")
 
 
 def resolve_texts(spark, d):
