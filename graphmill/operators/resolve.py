@@ -155,6 +155,15 @@ def name_index(symbols: DataFrame) -> DataFrame:
     return live.groupBy("rev", "segment").agg(F.count(F.lit(1)).alias("candidates"), F.min("id").alias("only"))
 
 
+def reaching_names(symbols: DataFrame) -> DataFrame:
+    """Names under which an ambiguous reference can mean a symbol: ``rev``, ``id``, ``hub``; its own last segment, and for a constructor also its class's."""
+    live = symbols.where("name_binding = 'live' and kind != 'module'").select("rev", "id", "path", "qualname", "kind").distinct()
+    own = live.select("rev", "id", last_segment(F.col("qualname")).alias("hub"))
+    built = live.where("kind = 'method' and endswith(qualname, '.__init__')").select("rev", "id", "path", F.regexp_replace("qualname", r"\.__init__$", "").alias("qualname"))
+    classes = live.where("kind = 'class'").select("rev", "path", "qualname")
+    return own.unionByName(built.join(classes, ["rev", "path", "qualname"], "left_semi").select("rev", "id", last_segment(F.col("qualname")).alias("hub"))).distinct()
+
+
 def resolve(tree: DataFrame, nodes: DataFrame, refs: DataFrame, blobs: DataFrame) -> DataFrame:
     """Every call and base of every revision, resolved by the first step that knows it.
 

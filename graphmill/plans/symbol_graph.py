@@ -36,9 +36,16 @@ def _symbols(spark: SparkSession, d: str) -> DataFrame:
     return resolve.materialize_nodes(_snapshot(spark, d), _t(spark, d, "blob_nodes"), _t(spark, d, "blobs"))
 
 
-def _hubs(edges: DataFrame) -> DataFrame:
+def _ambiguity(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("call", "base")) -> graph.Ambiguity:
+    """Ambiguous names of every revision: who uses them, and what they may mean."""
+    refs = cut(_resolved(spark, d).where(F.col("reason") == "ambiguous").where(F.col("ref_kind").isin(*kinds)).select("rev", "src", names.last_segment(F.col("name")).alias("hub")).distinct())
+    means = resolve.reaching_names(_symbols(spark, d)).join(broadcast_if_small(cut(refs.select("rev", "hub").distinct())), ["rev", "hub"], "left_semi")
+    return graph.Ambiguity(cut(means), refs)
+
+
+def _hubs(edges: DataFrame, ambiguity: graph.Ambiguity) -> DataFrame:
     """The symbol with the most callers in each revision."""
-    best = graph.fan_in(edges).groupBy("rev").agg(F.max_by("id", F.struct("fan_in", "id")).alias("start"))
+    best = graph.fan_in(edges, ambiguity).groupBy("rev").agg(F.max_by("id", F.struct("fan_in", "id")).alias("start"))
     return cut(best)
 
 
@@ -188,9 +195,9 @@ def reference_ratio(spark, d):
     return counts.select("rev", "linked", "n", F.round(F.col("linked") / F.col("n"), 6).alias("ratio"))
 
 
-def hub_edges(spark, d):
+def hub_edges(spark, d, kinds=("call", "base")):
     """Ambiguous names as hubs: sources to the name, the name to its candidates; the pairs are never made."""
-    open_ = _resolved(spark, d).where("reason = 'ambiguous'").select("rev", "src", names.last_segment(F.col("name")).alias("hub")).distinct()
+    open_ = _resolved(spark, d).where(F.col("reason") == "ambiguous").where(F.col("ref_kind").isin(*kinds)).select("rev", "src", names.last_segment(F.col("name")).alias("hub")).distinct()
     into = open_.select("rev", "src", F.concat(F.lit("*"), "hub").alias("dst"))
     live = _symbols(spark, d).where("name_binding = 'live' and kind != 'module'").select("rev", names.last_segment(F.col("qualname")).alias("hub"), "id")
     out = live.join(open_.select("rev", "hub").distinct(), ["rev", "hub"], "left_semi").select("rev", F.concat(F.lit("*"), "hub").alias("src"), F.col("id").alias("dst")).distinct()
@@ -215,11 +222,11 @@ def edge_argmin(spark, d):
 
 
 def fan_in(spark, d):
-    return graph.fan_in(_t(spark, d, "edges"))
+    return graph.fan_in(_t(spark, d, "edges"), _ambiguity(spark, d))
 
 
 def salience_score(spark, d):
-    return graph.ranked_nodes(_symbols(spark, d), _t(spark, d, "edges"))
+    return graph.ranked_nodes(_symbols(spark, d), _t(spark, d, "edges"), _ambiguity(spark, d))
 
 
 def view_edges(spark, d):
@@ -239,21 +246,23 @@ def override_pairs(spark, d):
 # ---- reach
 
 
+def _reached(spark, d):
+    edges, open_ = _t(spark, d, "edges"), _ambiguity(spark, d)
+    return graph.reach_back(edges, _hubs(edges, open_), HOPS, open_), open_
+
+
 def impact_hops(spark, d):
-    """What depends on the most called symbol of each revision, within three hops."""
-    edges = _t(spark, d, "edges")
-    return graph.reach_back(edges, _hubs(edges), HOPS)[0]
+    """What depends on the most called symbol of each revision, within three hops, ambiguous names included."""
+    return _reached(spark, d)[0][0]
 
 
 def impact_truncated(spark, d):
-    edges = _t(spark, d, "edges")
-    return graph.reach_back(edges, _hubs(edges), HOPS)[1]
+    return _reached(spark, d)[0][1]
 
 
 def _impact(spark, d):
-    edges = _t(spark, d, "edges")
-    reached = graph.reach_back(edges, _hubs(edges), HOPS)[0]
-    known = graph.ranked_nodes(_symbols(spark, d), edges)
+    (reached, _), open_ = _reached(spark, d)
+    known = graph.ranked_nodes(_symbols(spark, d), _t(spark, d, "edges"), open_)
     x = reached.join(known, ["rev", "id"]).withColumn("path", F.substring_index("id", "::", 1))
     name = F.regexp_replace("id", r"^.*(::|\.)", "")
     return x.withColumns({"score": F.round(names.impact_score(F.col("hop"), F.col("rank"), F.col("salience")), 6), "test": F.startswith("path", F.lit("tests/")) | F.startswith(name, F.lit("test_"))})
@@ -294,15 +303,15 @@ def effect_witness(spark, d):
     return graph.effect_witnesses(_t(spark, d, "edges"), direct_effects(spark, d))
 
 
-def _with_hubs(spark, d):
+def _with_hubs(spark, d, kinds=("call", "base")):
     """Links and the ambiguous calls through hubs, factorised; hubs are named ``*name``."""
-    hubs = hub_edges(spark, d).select("rev", "src", "dst", F.lit("CALLS").alias("kind"), F.lit("LOW").alias("confidence"), F.lit("static").alias("provenance"))
+    hubs = hub_edges(spark, d, kinds).select("rev", "src", "dst", F.lit("CALLS").alias("kind"), F.lit("LOW").alias("confidence"), F.lit("static").alias("provenance"))
     return cut(_t(spark, d, "edges").select("rev", "src", "dst", "kind", "confidence", "provenance").unionByName(hubs))
 
 
 def effects_with_hubs(spark, d):
     """Effects that may also come through ambiguous names, weak then."""
-    return graph.widest_effects(_with_hubs(spark, d), direct_effects(spark, d)).where("not startswith(id, '*')")
+    return graph.widest_effects(_with_hubs(spark, d, ("call",)), direct_effects(spark, d)).where("not startswith(id, '*')")
 
 
 def islands_with_hubs(spark, d):
@@ -375,10 +384,10 @@ def _strong(edges):
     return graph.links_only(edges).where("confidence in ('MEDIUM', 'HIGH')").select("rev", "src", "dst", "kind", "confidence", "provenance")
 
 
-def _path_ends(edges):
+def _path_ends(edges, ambiguity):
     """To the ten most called symbols of each revision: from the symbol with the most targets, and from the one that takes most strong links to get to any of them."""
     out = graph.links_only(edges).select("rev", "src", "dst").distinct().groupBy("rev", "src").agg(F.count(F.lit(1)).alias("n")).groupBy("rev").agg(F.max_by("src", F.struct("n", "src")).alias("start"))
-    goals = cut(graph.budget(graph.fan_in(edges), ["rev"], [F.col("fan_in").desc(), F.col("id")], 10).select("rev", F.col("id").alias("goal")))
+    goals = cut(graph.budget(graph.fan_in(edges, ambiguity), ["rev"], [F.col("fan_in").desc(), F.col("id")], 10).select("rev", F.col("id").alias("goal")))
     far = graph.farthest_sources(_strong(edges), goals).select("rev", F.col("id").alias("start"))
     return cut(out.unionByName(far).distinct().join(goals, "rev"))
 
@@ -389,28 +398,28 @@ def _both_ways(ends):
 
 def shortest_path(spark, d):
     """Between the ends of :func:`_path_ends`, in both directions: a row reads along the links, from whichever end reaches the other."""
-    edges = _t(spark, d, "edges")
-    found = graph.shortest_paths(edges, _both_ways(_path_ends(edges)), 6)
+    edges, open_ = _t(spark, d, "edges"), _ambiguity(spark, d)
+    found = graph.shortest_paths(edges, _both_ways(_path_ends(edges, open_)), 6, open_)
     return found.select("rev", "start", "goal", "hops", "rank", F.array_join("nodes", " > ").alias("path"))
 
 
 def path_negative(spark, d):
-    """Why there is no way of two links that are not weak, in either direction: it takes more links, or weak ones, or the islands differ, or nothing leads there.
+    """Why there is no way of two links that are not weak, in either direction: it takes more links, or weak ones (ambiguous names included), or the islands differ, or nothing leads there.
 
     Longer ways are looked for in both directions until nothing new is reached; ``hops`` is the shorter one.
     """
-    edges = _t(spark, d, "edges")
-    ends = _path_ends(edges)
+    edges, open_ = _t(spark, d, "edges"), _ambiguity(spark, d)
+    ends = _path_ends(edges, open_)
     key = ["rev", "start", "goal"]
 
-    def shorter(links, ends, name):
-        one_way = graph.distances(links, _both_ways(ends))
+    def shorter(links, ends, name, ambiguity=None):
+        one_way = graph.distances(links, _both_ways(ends), ambiguity)
         back = one_way.select("rev", F.col("goal").alias("start"), F.col("start").alias("goal"), "hops")
         return cut(one_way.unionByName(back).groupBy(*key).agg(F.min("hops").alias(name)).join(ends, key, "left_semi"))
 
     sure = shorter(_strong(edges), ends, "needed")
     x = ends.join(sure, key, "left").where("needed is null or needed > 2")
-    weak = shorter(edges, x.where("needed is null").select(*key), "with_weak")
+    weak = shorter(edges, x.where("needed is null").select(*key), "with_weak", open_)
     islands = cut(graph.connected(edges))
     x = x.join(weak, key, "left")
     for end in ("start", "goal"):
@@ -559,7 +568,7 @@ def score_recall(spark, d):
 
 def fan_in_quartiles(spark, d):
     q = F.percentile("fan_in", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return graph.fan_in(_t(spark, d, "edges")).groupBy("rev").agg(q.alias("q")).select("rev", *[F.round(F.get("q", F.lit(i)), 6).alias(f"q{i + 1}") for i in range(3)])
+    return fan_in(spark, d).groupBy("rev").agg(q.alias("q")).select("rev", *[F.round(F.get("q", F.lit(i)), 6).alias(f"q{i + 1}") for i in range(3)])
 
 
 def _sizes(spark, d):

@@ -8,7 +8,7 @@ from graphmill.plans.core_data import _TREE, _diff
 
 _LINKS = "l AS (SELECT *, list_position(['LOW', 'MEDIUM', 'HIGH'], confidence) - 1 AS rank FROM edges WHERE rev IS NOT NULL AND src IS NOT NULL AND dst <> '')"
 _PAIRS = f"{_LINKS}, pairs AS (SELECT rev, src, dst, max(rank)::INT AS rank, coalesce(bool_or(provenance = 'runtime'), false) AS observed FROM l GROUP BY ALL HAVING max(rank) IS NOT NULL)"
-_FAN = "fan AS (SELECT rev, dst AS id, count(DISTINCT src) AS fan_in FROM l GROUP BY ALL)"
+_FAN = "fan AS (SELECT rev, dst AS id, count(DISTINCT src) AS fan_in FROM (SELECT rev, src, dst FROM l UNION ALL SELECT rev, src, dst FROM maybe) GROUP BY ALL)"
 _HUBS = f"{_FAN}, hubs AS (SELECT rev, id AS start FROM fan QUALIFY row_number() OVER (PARTITION BY rev ORDER BY fan_in DESC, id DESC) = 1)"
 _DEFS = "defs AS (SELECT DISTINCT lower(blob_sha) AS sha, ordinal, qualname, kind, line_start, line_end, body_hash, name_binding, shadow_index FROM blob_nodes WHERE qualname IS NOT NULL AND blob_sha <> '')"
 _SYMBOLS = f"""{_TREE}, {_DEFS},
@@ -53,6 +53,14 @@ _RESOLVED = f"""{_SYMBOLS}, {_REFS}, {_OWNED}, {_IMPORTED}, {_INDEX},
     resolved AS (SELECT rev, path, ordinal, src, name, ref_kind, line, dst, step, rank, reason, CASE WHEN reason = 'ambiguous' THEN c ELSE 0 END AS candidates FROM res)"""
 
 
+# What ambiguous names may link, as pairs, and all links with these.
+_MAYBE = r"""ref_hubs AS (SELECT DISTINCT rev, src, regexp_extract(name, '[^.]*$') AS hub FROM resolved WHERE reason = 'ambiguous'),
+    alive AS (SELECT DISTINCT rev, id, path, qualname, kind FROM symbols WHERE name_binding = 'live' AND kind <> 'module'),
+    node_hubs AS (SELECT rev, id, regexp_extract(qualname, '[^.]*$') AS hub FROM alive UNION SELECT m.rev, m.id, regexp_extract(c.qualname, '[^.]*$') FROM alive m JOIN alive c ON c.rev = m.rev AND c.path = m.path AND c.kind = 'class' AND m.kind = 'method' AND m.qualname = c.qualname || '.__init__'),
+    maybe AS (SELECT DISTINCT r.rev, r.src, n.id AS dst FROM ref_hubs r JOIN node_hubs n USING (rev, hub))"""
+_ALL_PAIRS = "all_pairs AS (SELECT rev, src, dst, max(rank)::INT AS rank, bool_or(observed) AS observed FROM (SELECT * FROM pairs UNION ALL SELECT rev, src, dst, 0, false FROM maybe) GROUP BY ALL)"
+
+
 def _rules() -> str:
     """The rules as a relation, and each called name's best rule of all and of the overrides, by glob."""
     from graphmill.functions.names import TIERS
@@ -79,12 +87,12 @@ def _levels() -> str:
     out = "l0 AS (SELECT rev, start, start AS id, 2 AS rank, true AS observed FROM hubs)"
     for k in (1, 2, 3):
         seen = " UNION ALL ".join(f"SELECT rev, start, id FROM l{i}" for i in range(k))
-        out += f""", x{k} AS (SELECT p.rev, x.start, p.src AS id, max({{'r': least(x.rank, p.rank), 'o': (x.observed AND p.observed)}}) AS q FROM pairs p JOIN l{k - 1} x ON x.rev = p.rev AND x.id = p.dst GROUP BY ALL),
+        out += f""", x{k} AS (SELECT p.rev, x.start, p.src AS id, max({{'r': least(x.rank, p.rank), 'o': (x.observed AND p.observed)}}) AS q FROM all_pairs p JOIN l{k - 1} x ON x.rev = p.rev AND x.id = p.dst GROUP BY ALL),
         l{k} AS (SELECT rev, start, id, q.r AS rank, q.o AS observed FROM x{k} ANTI JOIN ({seen}) USING (rev, start, id))"""
     return out
 
 
-def _paths(hops: int, p: str = "p", pairs: str = "pairs") -> str:
+def _paths(hops: int, p: str = "p", pairs: str = "all_pairs") -> str:
     out = f"{p}0 AS (SELECT DISTINCT rev, start, start AS id, 2 AS rank, [start] AS nodes FROM ends)"
     for k in range(1, hops + 1):
         seen = " UNION ALL ".join(f"SELECT rev, start, id FROM {p}{i}" for i in range(k))
@@ -108,9 +116,9 @@ def _distances(name: str, pairs: str) -> str:
         {name}_least AS (SELECT o.rev, o.start, o.goal, min(d.hops) AS hops FROM one_way o JOIN {name} d ON d.rev = o.rev AND ((d.start = o.start AND d.id = o.goal) OR (d.start = o.goal AND d.id = o.start)) GROUP BY ALL)"""
 
 
-_REACHED = f"{_PAIRS}, {_HUBS}, {_levels()}, reached AS ({' UNION ALL '.join(f'SELECT rev, start, id, {k} AS hop, rank, observed FROM l{k}' for k in (1, 2, 3))})"
+_REACHED = f"{_PAIRS}, {_RESOLVED}, {_MAYBE}, {_ALL_PAIRS}, {_HUBS}, {_levels()}, reached AS ({' UNION ALL '.join(f'SELECT rev, start, id, {k} AS hop, rank, observed FROM l{k}' for k in (1, 2, 3))})"
 _SALIENCE = r"known AS (SELECT rev, id, coalesce(fan_in, 0) AS fan_in, round(CASE WHEN coalesce(fan_in, 0) = 0 THEN 0.5 ELSE 0 END + CASE WHEN starts_with(regexp_extract(qualname, '[^.]*$'), '_') THEN 0 ELSE 0.3 END + least(coalesce(fan_in, 0), 10) / 20, 6) AS salience FROM symbols LEFT JOIN fan USING (rev, id))"
-_IMPACT = rf"""{_SYMBOLS}, {_REACHED}, {_SALIENCE},
+_IMPACT = rf"""{_REACHED}, {_SALIENCE},
     impact AS (SELECT *, string_split(id, '::')[1] AS path, round(1.0::DOUBLE / hop * [{", ".join(f"{w}::DOUBLE" for w in TIER_WEIGHTS)}][rank + 1] * (1 + salience), 6) AS score, starts_with(id, 'tests/') OR starts_with(regexp_replace(id, '^.*(::|\.)', ''), 'test_') AS test FROM reached JOIN known USING (rev, id))"""
 _TESTS = r"(regexp_matches({0}, '(^|/)tests?/') OR regexp_matches({0}, '(^|/)(conftest|test_[^/]*|[^/]*_test)\.py$'))"
 _CC = """cc(rev, id, island) USING KEY (rev, id) AS (
@@ -168,22 +176,22 @@ ORACLES = {
     "edge_collapse": f"WITH {_PAIRS} SELECT * FROM pairs",
     "edge_argmin": f"""WITH {_LINKS}, o AS (SELECT *, coalesce(list_position({list(EDGE_KINDS)}, kind) - 1, {len(EDGE_KINDS)}) AS k, coalesce(provenance = 'runtime', false) AS observed, concat_ws(':', callsite_path, callsite_line) AS site FROM l WHERE rank IS NOT NULL)
         SELECT rev, src, dst, rank, kind, observed, site FROM o QUALIFY row_number() OVER (PARTITION BY rev, src, dst ORDER BY rank DESC, k, observed DESC, site, kind) = 1""",
-    "fan_in": f"WITH {_LINKS}, {_FAN} SELECT * FROM fan",
-    "salience_score": f"WITH {_SYMBOLS}, {_LINKS}, {_FAN}, {_SALIENCE} SELECT * FROM known",
+    "fan_in": f"WITH {_LINKS}, {_RESOLVED}, {_MAYBE}, {_FAN} SELECT * FROM fan",
+    "salience_score": f"WITH {_LINKS}, {_RESOLVED}, {_MAYBE}, {_FAN}, {_SALIENCE} SELECT * FROM known",
     "view_edges": f"WITH {_LINKS} SELECT rev, src, dst, kind, max(rank) AS rank, bool_or(provenance = 'runtime') AS observed FROM l WHERE src <> dst GROUP BY ALL",
     "override_pairs": rf"""WITH {_SYMBOLS}, {_LINKS}, ms AS (SELECT DISTINCT rev, regexp_replace(id, '\.[^.]+$', '') AS cls, regexp_extract(qualname, '[^.]*$') AS m FROM symbols WHERE kind = 'method' AND name_binding = 'live'),
         up AS (SELECT DISTINCT rev, src AS sub, dst AS base FROM l WHERE kind IN ('INHERITS', 'IMPLEMENTS'))
         SELECT up.rev, up.sub, up.base, a.m FROM up JOIN ms a ON a.rev = up.rev AND a.cls = up.sub JOIN ms b ON b.rev = up.rev AND b.cls = up.base AND b.m = a.m""",
     "impact_hops": f"WITH {_REACHED} SELECT * FROM reached",
-    "impact_truncated": f"""WITH {_REACHED}, seen AS (SELECT rev, start, id FROM l0 UNION ALL SELECT rev, start, id FROM reached), more AS (SELECT DISTINCT rev, start FROM (SELECT p.rev, x.start, p.src AS id FROM pairs p JOIN l3 x ON x.rev = p.rev AND x.id = p.dst) ANTI JOIN seen USING (rev, start, id))
+    "impact_truncated": f"""WITH {_REACHED}, seen AS (SELECT rev, start, id FROM l0 UNION ALL SELECT rev, start, id FROM reached), more AS (SELECT DISTINCT rev, start FROM (SELECT p.rev, x.start, p.src AS id FROM all_pairs p JOIN l3 x ON x.rev = p.rev AND x.id = p.dst) ANTI JOIN seen USING (rev, start, id))
         SELECT rev, start, (rev, start) IN (SELECT (rev, start) FROM more) AS truncated FROM hubs""",
     "impact_ranked": f"""WITH {_IMPACT}, s AS (SELECT *, CASE WHEN rank = 0 THEN 'low_confidence' WHEN test THEN 'tests' ELSE 'dependents' END AS section FROM impact)
         SELECT rev, section, row_number() OVER (PARTITION BY rev, rank = 0 ORDER BY section, score DESC, id) AS place, id, hop, rank, score FROM s QUALIFY place <= CASE WHEN rank = 0 THEN 5 ELSE 40 END""",
     "impact_summary": f"WITH {_IMPACT} SELECT rev, count(*) FILTER (rank > 0) AS symbols, count(DISTINCT path) FILTER (rank > 0) AS modules, count(*) FILTER (rank > 0 AND fan_in = 0) AS entry_points, count(*) FILTER (rank = 0) AS hidden_low FROM impact GROUP BY ALL",
-    "shortest_path": f"""WITH RECURSIVE {_PAIRS}, {_FAN}, {_ENDS},
+    "shortest_path": f"""WITH RECURSIVE {_PAIRS}, {_RESOLVED}, {_MAYBE}, {_ALL_PAIRS}, {_FAN}, {_ENDS},
         {_paths(6)}, found AS ({" UNION ALL ".join(f"SELECT rev, start, id AS goal, {k} AS hops, rank, nodes FROM p{k}" for k in range(7))})
         SELECT rev, start, goal, hops, rank, array_to_string(nodes, ' > ') AS path FROM found SEMI JOIN ends USING (rev, start, goal)""",
-    "path_negative": f"""WITH RECURSIVE {_PAIRS}, {_FAN}, {_ENDS}, {_distances("sd", "sp")}, {_distances("wd", "pairs")}, {_SYM}, {_CC}
+    "path_negative": f"""WITH RECURSIVE {_PAIRS}, {_RESOLVED}, {_MAYBE}, {_ALL_PAIRS}, {_FAN}, {_ENDS}, {_distances("sd", "sp")}, {_distances("wd", "all_pairs")}, {_SYM}, {_CC}
         SELECT e.rev, e.start, e.goal, CASE WHEN s.hops IS NOT NULL THEN 'hop_limit' WHEN w.hops IS NOT NULL THEN 'low_confidence' WHEN a.island IS DISTINCT FROM b.island THEN 'other_island' ELSE 'no_path' END AS reason, coalesce(s.hops, w.hops) AS hops
         FROM one_way e LEFT JOIN sd_least s USING (rev, start, goal) LEFT JOIN wd_least w USING (rev, start, goal) LEFT JOIN cc a ON a.rev = e.rev AND a.id = e.start LEFT JOIN cc b ON b.rev = e.rev AND b.id = e.goal WHERE s.hops IS NULL OR s.hops > 2""",
     "island_mechanisms": rf"""WITH RECURSIVE {_SYMBOLS}, {_LINKS}, {_SYM}, {_CC},
@@ -218,7 +226,7 @@ ORACLES = {
         x AS (SELECT * FROM st FULL JOIN rt USING (rev, src, dst) LEFT JOIN ran USING (rev, src)),
         n AS (SELECT rev, count(*) FILTER (seen) AS observed, count(*) FILTER (seen AND rank IS NOT NULL) AS hit, count(*) FILTER (seen AND rank > 0) AS strong, count(*) FILTER (rank IS NOT NULL AND ran) AS judged FROM x GROUP BY ALL)
         SELECT rev, observed, judged, round(CASE WHEN observed = 0 THEN 1.0 ELSE hit / observed END, 6) AS recall, round(CASE WHEN observed = 0 THEN 1.0 ELSE strong / observed END, 6) AS recall_strong, round(CASE WHEN judged = 0 THEN 1.0 ELSE hit / judged END, 6) AS "precision" FROM n""",
-    "fan_in_quartiles": f"WITH {_LINKS}, {_FAN} SELECT rev, round(quantile_cont(fan_in, 0.25), 6) AS q1, round(quantile_cont(fan_in, 0.5), 6) AS q2, round(quantile_cont(fan_in, 0.75), 6) AS q3 FROM fan GROUP BY ALL",
+    "fan_in_quartiles": f"WITH {_LINKS}, {_RESOLVED}, {_MAYBE}, {_FAN} SELECT rev, round(quantile_cont(fan_in, 0.25), 6) AS q1, round(quantile_cont(fan_in, 0.5), 6) AS q2, round(quantile_cont(fan_in, 0.75), 6) AS q3 FROM fan GROUP BY ALL",
     "lines_rollup": f"""WITH {_TREE}, {_SIZED}, u AS (SELECT rev, lines, string_split(path, '/') AS parts, unnest(range(0, len(string_split(path, '/')))) AS n FROM sized)
         SELECT rev, array_to_string(parts[1:n], '/') AS folder, sum(lines)::BIGINT AS n_lines, count(*) AS n_files FROM u GROUP BY ALL""",
     "source_budget": f"WITH {_TREE}, {_SIZED} SELECT rev, path, n_bytes, sum(n_bytes) OVER (PARTITION BY rev ORDER BY path)::BIGINT AS upto FROM sized QUALIFY upto <= 1000000",
@@ -253,6 +261,7 @@ def _late() -> dict[str, str]:
         "effects_with_hubs": (hubs := f"""WITH RECURSIVE {_RESOLVED}, {direct}, {_LINKS}, o AS (SELECT DISTINCT rev, src, regexp_extract(name, '[^.]*$') AS hub FROM resolved WHERE reason = 'ambiguous'),
             hub AS (SELECT rev, src, '*' || hub AS dst FROM o UNION ALL SELECT DISTINCT rev, '*' || regexp_extract(qualname, '[^.]*$'), id FROM symbols WHERE name_binding = 'live' AND kind <> 'module' AND (rev, regexp_extract(qualname, '[^.]*$')) IN (SELECT (rev, hub) FROM o)),
             calls AS (SELECT rev, src, dst, max(rank) AS rank FROM (SELECT rev, src, dst, rank FROM l WHERE kind = 'CALLS' UNION ALL SELECT rev, src, dst, 0 FROM hub) WHERE src <> dst GROUP BY ALL HAVING max(rank) IS NOT NULL), own AS (SELECT rev, id, effect, max(rank) AS rank FROM direct GROUP BY ALL)""")
+        .replace("FROM resolved WHERE reason = 'ambiguous')", "FROM resolved WHERE reason = 'ambiguous' AND ref_kind = 'call')")
         + """, w AS (SELECT rev, id, effect, rank FROM own UNION SELECT c.rev, c.src, w.effect, least(w.rank, c.rank) FROM w JOIN calls c ON c.rev = w.rev AND c.dst = w.id)
             SELECT w.rev, w.id, w.effect, coalesce(any_value(own.rank), max(w.rank)) AS rank, any_value(own.rank) IS NOT NULL AS direct FROM w LEFT JOIN own USING (rev, id, effect) WHERE NOT starts_with(w.id, '*') GROUP BY ALL""",
         "islands_with_hubs": hubs + f""", all_l AS (SELECT rev, src, dst FROM l UNION ALL SELECT rev, src, dst FROM hub), {_SYM.replace("FROM l ", "FROM all_l ")}, {_CC}

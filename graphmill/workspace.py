@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -113,6 +113,28 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def unseen(candidates: DataFrame, seen: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """A cut of the ``candidates`` whose keys are in none of the cuts ``seen``, which stay where they are as long as either side is small.
+
+    Few seen rows are broadcast. Of many, those that few candidates meet are looked up by broadcasting the
+    candidates; only where both are many are both shuffled.
+    """
+    keys = list(keys)
+    if not seen:
+        return cut(candidates)
+    known = seen[0].select(*keys)
+    for more in seen[1:]:
+        known = known.unionByName(more.select(*keys))
+    if sum(map(rows_of, seen)) <= BROADCAST_ROWS:
+        return cut(candidates.join(F.broadcast(known), keys, "left_anti"))
+    offered = cut(candidates)
+    if rows_of(offered) <= BROADCAST_ROWS:
+        known = F.broadcast(known.join(F.broadcast(offered.select(*keys)), keys, "left_semi"))
+    fresh = cut(offered.join(known, keys, "left_anti"))
+    drop(offered)
+    return fresh
+
+
 def null_safe_equal(left: DataFrame, right: DataFrame, columns: Iterable[str]) -> Column:
     """Join condition that also matches null keys with each other."""
     condition = F.lit(True)
