@@ -67,6 +67,14 @@ def absolute_module(module: Column, level: Column, package: Column) -> Column:
     return F.when(level == 0, module).otherwise(F.concat_ws(".", F.nullif(base, F.lit("")), F.nullif(module, F.lit(""))))
 
 
+def under_source_root(path: Column, roots: Sequence[str]) -> Column:
+    """Whether a path lies below any of the source roots; the empty root holds everything."""
+    out = F.lit(False)
+    for root in roots:
+        out = out | (F.lit(True) if not root.strip("/") else F.startswith(path, F.lit(root.strip("/") + "/")))
+    return out
+
+
 def is_test_path(path: Column) -> Column:
     """A test by its place: in a folder ``tests`` or ``test``, or by its file name."""
     return path.rlike(r"(^|/)tests?/") | path.rlike(r"(^|/)(conftest|test_[^/]*|[^/]*_test)\.py$")

@@ -40,6 +40,18 @@ def import_map(tree: DataFrame, imports: DataFrame, roots: Sequence[str] = ()) -
     return rows.groupBy("rev", "path", "alias").agg(F.max_by("target", F.struct("certain", "ordinal")).alias("target"))
 
 
+def expand_heads(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Names (``rev``, ``path``, ``name``) with ``dotted``: the first segment replaced by what it was imported as; null where it was not imported."""
+    head, tail = F.substring_index("name", ".", 1), F.nullif(F.regexp_replace("name", r"^[^.]*\.?", ""), F.lit(""))
+    return names.withColumn("alias", head).join(aliases, ["rev", "path", "alias"], "left").withColumn("dotted", F.when(F.col("target").isNotNull(), F.concat_ws(".", "target", tail))).drop("alias", "target")
+
+
+def imported_symbols(symbols: DataFrame, aliases: DataFrame, roots: Sequence[str] = ()) -> DataFrame:
+    """``rev``, ``id`` of the symbols that some module imports by name: what an island may be entered through."""
+    named = symbols.withColumn("dotted", F.concat_ws(".", F.nullif(module_of_path(F.col("path"), roots), F.lit("")), "qualname"))
+    return named.join(aliases.select("rev", F.col("target").alias("dotted")).distinct(), ["rev", "dotted"], "left_semi").select("rev", "id").distinct()
+
+
 def _splits(df: DataFrame, name: str) -> DataFrame:
     parts = F.split(name, r"\.")
     cuts = df.withColumn("n", F.explode(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))))

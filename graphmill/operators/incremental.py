@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.functions.names import last_segment
+from graphmill.functions.text import plain_sha
 
 
 def fingerprint(rows: DataFrame, *columns: str) -> str:
@@ -77,6 +80,23 @@ def drop_revision(rows: DataFrame, rev: str) -> DataFrame:
     return rows.where(~F.col("rev").eqNullSafe(F.lit(rev)))
 
 
+def replace_blobs(stored: DataFrame, parsed: DataFrame) -> DataFrame:
+    """A per-text relation after parsing again: all rows of the texts in ``parsed`` go, then the new ones come."""
+    return stored.join(parsed.select("blob_sha").distinct(), "blob_sha", "left_anti").unionByName(parsed.select(*stored.columns))
+
+
+def garbage(blobs: DataFrame, tree: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``blob_sha`` of the texts that no path of the revisions to keep holds; all of them if none is to be kept."""
+    held = tree.where(F.col("rev").isin(*keep)) if keep else tree.where(F.lit(False))
+    return blobs.select(plain_sha(F.col("blob_sha")).alias("blob_sha")).where("blob_sha is not null").distinct().join(held.select(plain_sha(F.col("blob_sha")).alias("blob_sha")), "blob_sha", "left_anti")
+
+
+def set_meta(meta: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Settings (``key``, ``value``) with some of them set: a key that is there is replaced, another is added."""
+    fresh = meta.sparkSession.createDataFrame(sorted(values.items()), "key string, value string")
+    return meta.select("key", "value").join(fresh.select("key"), "key", "left_anti").unionByName(fresh)
+
+
 def propagation_inputs(edges: DataFrame, effects: DataFrame, unresolved: DataFrame) -> DataFrame:
     """All that the spread of effects depends on, as rows that can be fingerprinted: calls, direct effects, ambiguous names."""
     calls = edges.where("kind = 'CALLS'").select(F.lit("call").alias("what"), "src", "dst", F.col("confidence").alias("value")).distinct()

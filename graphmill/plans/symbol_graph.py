@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphmill.functions import names
 from graphmill.functions.text import plain_sha
-from graphmill.operators import evaluate, graph, hierarchy, imports, incremental, order, resolve, snapshots, view
+from graphmill.operators import evaluate, graph, hierarchy, imports, incremental, order, resolve, search, snapshots, view
 from graphmill.sources import python_source
 from graphmill.streaming import streams
 from graphmill.workspace import broadcast_if_small, cut, table
@@ -479,13 +479,12 @@ def test_only_symbols(spark, d):
 
 def token_scan(spark, d):
     """In how many texts each live name is mentioned as a word, outside the lines that define it."""
-    texts = _t(spark, d, "blob_texts").select(plain_sha(F.col("blob_sha")).alias("blob_sha"), "content").distinct()
-    lines = texts.select("blob_sha", F.posexplode(F.split("content", "\n")).alias("line", "text"))
-    words = lines.select("blob_sha", (F.col("line") + 1).alias("line"), F.explode(F.array_distinct(F.expr(r"regexp_extract_all(text, r'[A-Za-z_][A-Za-z_0-9]*', 0)"))).alias("word"))
+    texts = _t(spark, d, "blob_texts").select(plain_sha(F.col("blob_sha")).alias("blob_sha"), "content")
     defined = resolve.definitions(_t(spark, d, "blob_nodes")).where("kind in ('function', 'class') and name_binding = 'live' and not contains(qualname, '.')")
-    wanted = defined.select(F.col("qualname").alias("word")).distinct()
+    # The names are few against the words, so that words are mostly dropped where they are read.
+    wanted = broadcast_if_small(cut(defined.select(F.col("qualname").alias("word")).distinct()))
     spans = defined.select("blob_sha", F.col("qualname").alias("word"), "line_start", "line_end")
-    hits = words.join(wanted, "word", "left_semi").join(spans, ["blob_sha", "word"], "left")
+    hits = search.words_of(texts).join(wanted, "word", "left_semi").distinct().join(spans, ["blob_sha", "word"], "left")
     outside = hits.where("line_start is null or line < line_start or line > line_end").select("word", "blob_sha", "line").distinct()
     return outside.groupBy("word", "blob_sha").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_lines"))
 

@@ -212,7 +212,7 @@ ORACLES = {
         SELECT DISTINCT rev, id, callers FROM symbols JOIN j USING (rev, id) WHERE kind IN ('function', 'method') AND name_binding = 'live' AND NOT {_TESTS.format("path")} AND NOT (regexp_matches(regexp_extract(qualname, '[^.]*$'), '^__.+__$') AND length(regexp_extract(qualname, '[^.]*$')) > 4)""",
     "token_scan": rf"""WITH {_DEFS}, own AS (SELECT sha, qualname AS word, line_start, line_end FROM defs WHERE kind IN ('function', 'class') AND name_binding = 'live' AND NOT contains(qualname, '.')),
         ln AS (SELECT sha, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM (SELECT DISTINCT lower(blob_sha) AS sha, content FROM blob_texts)),
-        w AS (SELECT DISTINCT sha, line, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z_0-9]*')) AS word FROM ln),
+        w AS (SELECT DISTINCT sha, line, unnest(regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+')) AS word FROM ln),
         o AS (SELECT DISTINCT w.word, w.sha, w.line FROM w LEFT JOIN own USING (sha, word) WHERE w.word IN (SELECT word FROM own) AND (own.line_start IS NULL OR w.line < own.line_start OR w.line > own.line_end))
         SELECT word, count(DISTINCT sha) AS n_texts, count(*) AS n_lines FROM o GROUP BY ALL""",
     "snapshot_diff": f"WITH {_STATE}, events AS ({_diff('content', 'symbol')}) SELECT rev, item AS id, change FROM events JOIN revs USING (idx)",
@@ -235,16 +235,21 @@ ORACLES = {
 }
 
 
-def _late() -> dict[str, str]:
+def history_sql() -> str:
+    """What revisions change: links (``le``) and effects (``ee``) gained and lost after certain moves (``moves``)."""
     direct = _direct()
     own = "calls AS (SELECT rev, src, dst, max(rank) AS rank FROM l WHERE kind = 'CALLS' AND src <> dst GROUP BY ALL HAVING max(rank) IS NOT NULL), own AS (SELECT rev, id, effect, max(rank) AS rank FROM direct GROUP BY ALL)"
     spread = "w AS (SELECT rev, id, effect, rank FROM own UNION SELECT c.rev, c.src, w.effect, least(w.rank, c.rank) FROM w JOIN calls c ON c.rev = w.rev AND c.dst = w.id), best AS (SELECT w.rev, w.id, w.effect, coalesce(any_value(own.rank), max(w.rank)) AS rank, any_value(own.rank) IS NOT NULL AS direct FROM w LEFT JOIN own USING (rev, id, effect) GROUP BY ALL)"
-    history = f"""WITH RECURSIVE {_STATE}, {_REFS}, {direct}, {own}, {spread}, {_MOVES}, moves AS (SELECT idx, removed, added FROM p WHERE n_removed = 1 AND n_added = 1 AND body_hash IS NOT NULL), last AS (SELECT max(idx) AS i FROM revs),
+    return f"""WITH RECURSIVE {_STATE}, {_REFS}, {direct}, {own}, {spread}, {_MOVES}, moves AS (SELECT idx, removed, added FROM p WHERE n_removed = 1 AND n_added = 1 AND body_hash IS NOT NULL), last AS (SELECT max(idx) AS i FROM revs),
             ln AS (SELECT DISTINCT idx, src, dst, coalesce(kind, '') AS kind FROM strong JOIN revs USING (rev)),
             lb AS (SELECT DISTINCT n.idx + 1 AS idx, coalesce(a.added, n.src) AS src, coalesce(b.added, n.dst) AS dst, kind FROM ln n LEFT JOIN moves a ON a.idx = n.idx + 1 AND a.removed = n.src LEFT JOIN moves b ON b.idx = n.idx + 1 AND b.removed = n.dst, last WHERE n.idx < last.i),
             le AS (SELECT *, 'added' AS change FROM (SELECT * FROM ln WHERE idx > 0 EXCEPT SELECT * FROM lb) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM lb EXCEPT SELECT * FROM ln)),
             en AS (SELECT DISTINCT idx, id, effect FROM best JOIN revs USING (rev) WHERE rank > 0), eb AS (SELECT DISTINCT n.idx + 1 AS idx, coalesce(a.added, n.id) AS id, effect FROM en n LEFT JOIN moves a ON a.idx = n.idx + 1 AND a.removed = n.id, last WHERE n.idx < last.i),
             ee AS (SELECT *, 'added' AS change FROM (SELECT * FROM en WHERE idx > 0 EXCEPT SELECT * FROM eb) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM eb EXCEPT SELECT * FROM en))"""
+
+
+def _late() -> dict[str, str]:
+    direct, history = _direct(), history_sql()
     return {
         "direct_effects": f"WITH {_TREE}, {_REFS}, {direct} SELECT * FROM direct",
         "glob_best_match": f"WITH {_REFS}, {_rules()} SELECT name, a.effect AS effect, a.rank AS rank, a.match AS \"match\" FROM ruled",
