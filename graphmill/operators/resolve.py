@@ -215,19 +215,28 @@ def direct_effects(tree: DataFrame, refs: DataFrame, rules: Sequence[Rule], root
     return found.groupBy("rev", "id", "hit.effect", "hit.rank").agg(F.min("line").alias("line"))
 
 
-def containing_classes(symbols: DataFrame, required: DataFrame) -> DataFrame:
-    """Relational division: classes that define all methods of a protocol.
+def containing_classes(symbols: DataFrame, required: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """Relational division: classes that have all methods of a protocol without descending from it.
 
-    Each protocol is looked up by its rarest method only, and the rest of its
+    Methods count along the ancestors, for the class and for the protocol. Protocols without methods, other protocols and heirs
+    of the protocol have no rows. Each protocol is looked up by its rarest method only, and the rest of its
     methods checked on the candidates' sets, so popular method names make no pairs.
 
     :param symbols: ``rev``, ``id``, ``path``, ``qualname``, ``kind``
     :param required: ``rev``, ``protocol`` (the id of a class)
-    :returns: ``rev``, ``protocol``, ``id``; protocols without methods have no rows, and none contains itself
+    :param order: ``rev``, ``cls``, ``anc``, ``depth``; without it only methods defined in the class itself count
+    :returns: ``rev``, ``protocol``, ``id``
     """
     methods = symbols.where("kind = 'method'").select("rev", F.concat("path", F.lit("::"), F.regexp_replace("qualname", r"\.[^.]+$", "")).alias("id"), last_segment(F.col("qualname")).alias("m")).distinct()
+    if order is not None:
+        above = order.where("depth > 0").select("rev", F.col("cls").alias("heir"), F.col("anc").alias("id"))
+        methods = methods.unionByName(above.join(methods, ["rev", "id"]).select("rev", F.col("heir").alias("id"), "m")).distinct()
+    methods = cut(methods)
+    protocols = required.select("rev", "protocol").distinct()
     sets = methods.groupBy("rev", "id").agg(F.collect_set("m").alias("has"))
     frequency = methods.groupBy("rev", "m").agg(F.count(F.lit(1)).alias("n"))
-    needs = methods.join(required.withColumnRenamed("protocol", "id").distinct(), ["rev", "id"], "left_semi").join(frequency, ["rev", "m"]).groupBy("rev", F.col("id").alias("protocol")).agg(F.collect_set("m").alias("needs"), F.min_by("m", F.struct("n", "m")).alias("m"))
-    candidates = methods.join(needs, ["rev", "m"]).where("id != protocol").select("rev", "protocol", "needs", "id")
+    needs = methods.join(protocols.withColumnRenamed("protocol", "id"), ["rev", "id"], "left_semi").join(frequency, ["rev", "m"]).groupBy("rev", F.col("id").alias("protocol")).agg(F.collect_set("m").alias("needs"), F.min_by("m", F.struct("n", "m")).alias("m"))
+    candidates = methods.join(needs, ["rev", "m"]).select("rev", "protocol", "needs", "id").join(protocols.withColumnRenamed("protocol", "id"), ["rev", "id"], "left_anti")
+    if order is not None:
+        candidates = candidates.join(order.select("rev", F.col("cls").alias("id"), F.col("anc").alias("protocol")), ["rev", "id", "protocol"], "left_anti")
     return candidates.join(sets, ["rev", "id"]).where(F.size(F.array_except("needs", "has")) == 0).select("rev", "protocol", "id")

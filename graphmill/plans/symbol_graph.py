@@ -205,9 +205,9 @@ def hub_edges(spark, d, kinds=("call", "base")):
 
 
 def containment_division(spark, d):
-    """Classes that have all methods of a class that others implement."""
-    required = graph.links_only(_t(spark, d, "edges")).where("kind = 'IMPLEMENTS'").select("rev", F.col("dst").alias("protocol")).distinct()
-    return resolve.containing_classes(_symbols(spark, d), required)
+    """Classes that have all methods of a class that others implement or inherit, and do not descend from it."""
+    required = graph.links_only(_t(spark, d, "edges")).where("kind in ('IMPLEMENTS', 'INHERITS')").select("rev", F.col("dst").alias("protocol")).distinct()
+    return resolve.containing_classes(_symbols(spark, d), required, class_ancestors(spark, d))
 
 
 # ---- collapsed edges, ranks

@@ -133,6 +133,10 @@ _STATE = f"""{_SYMBOLS}, {_LINKS},
     outgoing AS (SELECT rev, src AS id, list_sort(list(dst || '|' || kind)) AS links FROM strong GROUP BY ALL),
     content AS (SELECT idx, id AS item, '' AS target, {{'b': max(body_hash), 'l': any_value(links)}} AS content FROM symbols LEFT JOIN outgoing USING (rev, id) JOIN revs USING (rev) WHERE name_binding = 'live' GROUP BY idx, id)"""
 
+_ANCESTORS = f"""{_LINKS}, up AS (SELECT DISTINCT rev, src AS sub, dst AS base FROM l WHERE kind = 'INHERITS' AND confidence = 'HIGH' AND src <> dst),
+            a(rev, cls, anc, depth) USING KEY (rev, cls, anc) AS (SELECT rev, c, c, 0 FROM (SELECT rev, sub AS c FROM up UNION SELECT rev, base FROM up) UNION
+                SELECT DISTINCT a.rev, a.cls, up.base, a.depth + 1 FROM a JOIN up ON up.rev = a.rev AND up.sub = a.anc WHERE (a.rev, a.cls, up.base) NOT IN (SELECT (rev, cls, anc) FROM recurring.a))"""
+
 _MOVES = """r AS (SELECT DISTINCT idx, id, kind, body_hash FROM symbols JOIN revs USING (rev) WHERE name_binding = 'live' AND kind <> 'module'),
         g AS (SELECT a.idx + 1 AS idx, a.kind, a.body_hash, a.id, 0 AS new FROM r a WHERE (a.idx + 1, a.id) NOT IN (SELECT (idx, id) FROM r) UNION ALL SELECT b.idx, b.kind, b.body_hash, b.id, 1 FROM r b WHERE (b.idx - 1, b.id) NOT IN (SELECT (idx, id) FROM r)),
         p AS (SELECT idx, kind, body_hash, count(*) FILTER (new = 0) AS n_removed, count(*) FILTER (new = 1) AS n_added, min(id) FILTER (new = 0) AS removed, min(id) FILTER (new = 1) AS added FROM g GROUP BY ALL)"""
@@ -170,9 +174,6 @@ ORACLES = {
     "reference_ratio": f"WITH {_RESOLVED} SELECT rev, count(step) AS linked, count(*) AS n, round(count(step) / count(*), 6) AS ratio FROM resolved GROUP BY ALL",
     "hub_edges": f"""WITH {_RESOLVED}, o AS (SELECT DISTINCT rev, src, regexp_extract(name, '[^.]*$') AS hub FROM resolved WHERE reason = 'ambiguous')
         SELECT rev, src, '*' || hub AS dst FROM o UNION ALL SELECT DISTINCT rev, '*' || regexp_extract(qualname, '[^.]*$'), id FROM symbols WHERE name_binding = 'live' AND kind <> 'module' AND (rev, regexp_extract(qualname, '[^.]*$')) IN (SELECT (rev, hub) FROM o)""",
-    "containment_division": rf"""WITH {_SYMBOLS}, {_LINKS}, ms AS (SELECT DISTINCT rev, path || '::' || regexp_replace(qualname, '\.[^.]+$', '') AS id, regexp_extract(qualname, '[^.]*$') AS m FROM symbols WHERE kind = 'method'),
-        req AS (SELECT DISTINCT l.rev, l.dst AS protocol, m FROM l JOIN ms ON ms.rev = l.rev AND ms.id = l.dst WHERE l.kind = 'IMPLEMENTS'), size AS (SELECT rev, protocol, count(*) AS n FROM req GROUP BY ALL)
-        SELECT req.rev, req.protocol, ms.id FROM req JOIN ms ON ms.rev = req.rev AND ms.m = req.m AND ms.id <> req.protocol JOIN size ON size.rev = req.rev AND size.protocol = req.protocol GROUP BY req.rev, req.protocol, ms.id, n HAVING count(*) = n""",
     "edge_collapse": f"WITH {_PAIRS} SELECT * FROM pairs",
     "edge_argmin": f"""WITH {_LINKS}, o AS (SELECT *, coalesce(list_position({list(EDGE_KINDS)}, kind) - 1, {len(EDGE_KINDS)}) AS k, coalesce(provenance = 'runtime', false) AS observed, concat_ws(':', callsite_path, callsite_line) AS site FROM l WHERE rank IS NOT NULL)
         SELECT rev, src, dst, rank, kind, observed, site FROM o QUALIFY row_number() OVER (PARTITION BY rev, src, dst ORDER BY rank DESC, k, observed DESC, site, kind) = 1""",
@@ -278,10 +279,12 @@ def _late() -> dict[str, str]:
             SELECT n.* EXCLUDE (idx), m.removed AS moved_from, rev FROM n LEFT JOIN moves m ON m.idx = n.idx AND m.added = n.id JOIN revs ON revs.idx = n.idx""",
         "history_steps": f"""{history}, events AS (SELECT idx, 'symbols_' || change AS c FROM ({_diff('content', 'symbols')}) UNION ALL SELECT idx, 'edges_' || change FROM le UNION ALL SELECT idx, 'effects_' || change FROM ee UNION ALL SELECT idx, 'moves' FROM moves)
             SELECT rev, {", ".join(f"count(*) FILTER (c = '{c}') AS {c}" for c in ("symbols_added", "symbols_removed", "symbols_changed", "edges_added", "edges_removed", "effects_added", "effects_removed", "moves"))} FROM events JOIN revs USING (idx) GROUP BY rev""",
-        "class_ancestors": f"""WITH RECURSIVE {_LINKS}, up AS (SELECT DISTINCT rev, src AS sub, dst AS base FROM l WHERE kind = 'INHERITS' AND confidence = 'HIGH' AND src <> dst),
-            a(rev, cls, anc, depth) USING KEY (rev, cls, anc) AS (SELECT rev, c, c, 0 FROM (SELECT rev, sub AS c FROM up UNION SELECT rev, base FROM up) UNION
-                SELECT DISTINCT a.rev, a.cls, up.base, a.depth + 1 FROM a JOIN up ON up.rev = a.rev AND up.sub = a.anc WHERE (a.rev, a.cls, up.base) NOT IN (SELECT (rev, cls, anc) FROM recurring.a))
-            SELECT * FROM a""",
+        "containment_division": rf"""WITH RECURSIVE {_SYMBOLS}, {_ANCESTORS}, own_m AS (SELECT DISTINCT rev, path || '::' || regexp_replace(qualname, '\.[^.]+$', '') AS id, regexp_extract(qualname, '[^.]*$') AS m FROM symbols WHERE kind = 'method'),
+            ms AS (SELECT rev, id, m FROM own_m UNION SELECT a.rev, a.cls, m.m FROM a JOIN own_m m ON m.rev = a.rev AND m.id = a.anc),
+            pr AS (SELECT DISTINCT rev, dst AS protocol FROM l WHERE kind IN ('IMPLEMENTS', 'INHERITS')), req AS (SELECT rev, protocol, m FROM pr JOIN ms USING (rev) WHERE ms.id = protocol), size AS (SELECT rev, protocol, count(*) AS n FROM req GROUP BY ALL)
+            SELECT req.rev, req.protocol, ms.id FROM req JOIN ms ON ms.rev = req.rev AND ms.m = req.m JOIN size ON size.rev = req.rev AND size.protocol = req.protocol
+            WHERE (ms.rev, ms.id) NOT IN (SELECT (rev, protocol) FROM pr) AND (ms.rev, ms.id, req.protocol) NOT IN (SELECT (rev, cls, anc) FROM a) GROUP BY req.rev, req.protocol, ms.id, n HAVING count(*) = n""",
+        "class_ancestors": f"WITH RECURSIVE {_ANCESTORS} SELECT * FROM a",
         "dirty_paths": f"""WITH {_TREE}, n AS (SELECT * FROM snap JOIN revs USING (rev)), w AS (SELECT * FROM n WHERE rev = 'WORKTREE'), h AS (SELECT * FROM n WHERE idx = (SELECT max(idx) - 1 FROM w))
             SELECT coalesce(w.path, h.path) AS path, CASE WHEN h.path IS NULL THEN 'added' WHEN w.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM h FULL JOIN w ON w.path = h.path WHERE h.sha IS DISTINCT FROM w.sha""",
         "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL",
