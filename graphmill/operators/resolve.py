@@ -175,10 +175,12 @@ def resolve(tree: DataFrame, nodes: DataFrame, refs: DataFrame, blobs: DataFrame
     """
     snapshot = latest_rows(tree)
     local = local_targets(owners(references(refs).where("ref_kind in ('call', 'base')"), nodes), nodes)
-    placed = snapshot.join(local, "blob_sha")
+    placed = cut(snapshot.join(local, "blob_sha"))
     imported = imported_targets(placed.where("dotted is not null").select("rev", "dotted").distinct(), snapshot, nodes)
     index = name_index(materialize_nodes(snapshot, nodes, blobs))
-    x = placed.join(imported, ["rev", "dotted"], "left").withColumn("segment", last_segment(F.col("name"))).join(index, ["rev", "segment"], "left")
+    # Most references are no dotted ones; only these are shuffled by their name.
+    known = placed.where("dotted is not null").join(imported, ["rev", "dotted"], "left").select(*placed.columns, "dst")
+    x = known.unionByName(placed.where("dotted is null").withColumn("dst", F.lit(None).cast("string"))).withColumn("segment", last_segment(F.col("name"))).join(index, ["rev", "segment"], "left")
     bare = F.col("name").isin(*BUILTINS)
     by_name = (F.col("candidates") == 1) & ~bare
     here = F.concat("path", F.lit("::"), "local")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphmill.workspace import cut
 
+# The extent of a picture, and the share of a box's shorter side that stays free around its children.
 WIDTH, HEIGHT, MARGIN = 1_000_000.0, 562_500.0, 0.055
 
 

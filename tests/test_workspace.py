@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import subprocess
+import sys
 
 from graphmill import workspace
 
@@ -23,3 +26,12 @@ def test_core_does_not_need_the_text_package():
                 if name.endswith(".py"):
                     with open(os.path.join(folder, name)) as f:
                         assert "graphmill.llm" not in f.read(), name
+
+
+def test_the_rest_runs_without_the_text_package(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(workspace.__file__)))
+    shutil.copytree(os.path.join(root, "graphmill"), tmp_path / "graphmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    asked = "import __spark_entry__ as e, graphmill.cli; q = e.queries(); assert 'p2_found' in q and 'p3_found' not in q and set(e.oracle_sql()) <= set(q); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", asked], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert done.returncode == 0 and int(done.stdout) > 70, done.stderr
