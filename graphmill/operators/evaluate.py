@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,19 +56,30 @@ def paired_bootstrap(pairs: DataFrame, resamples: int = 20_000, seed: int = 17,
 
     A resample draws each pair a Poisson(1) number of times, the distributed form of drawing n with
     replacement. Equal pairs are first counted, and n of them draw a Poisson(n) number together, so the work depends on
-    the number of different pairs; draws depend on values and seed, not on how rows are spread. Poisson(n) comes
-    from the inverse of its distribution up to n = 12, from its normal limit beyond.
+    the number of different pairs; draws depend on values and seed, not on how rows are spread. A task adds its pairs up to
+    two sums per resample and name, and only these meet.
     """
-    known = pairs.where("a is not null and b is not null").select("name", (F.col("b") - F.col("a")).alias("d"), "a", "b")
-    counted = known.groupBy("name", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("d").alias("d"))
-    drawn = counted.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    uniform = lambda k: (F.shiftrightunsigned(F.xxhash64("name", "a", "b", "i", F.lit(seed), F.lit(k)), 11) + 0.5) / F.lit(float(1 << 53))
-    # sum of probabilities up to k, for k = 0, 1, ...: the draw is the number of sums below the uniform number
-    step = F.aggregate(F.sequence(F.lit(1), F.lit(45)), F.struct(F.exp(-F.col("n")).alias("p"), F.exp(-F.col("n")).alias("s"), (F.col("u") > F.exp(-F.col("n"))).cast("double").alias("k")), lambda x, j: F.struct((x["p"] * F.col("n") / j).alias("p"), (x["s"] + x["p"] * F.col("n") / j).alias("s"), (x["k"] + (F.col("u") > x["s"] + x["p"] * F.col("n") / j).cast("double")).alias("k")), lambda x: x["k"])
-    normal = F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt(F.col("n")) * F.sqrt(-2 * F.log(F.col("u"))) * F.cos(2 * F.pi() * F.col("v"))))
-    sized = drawn.withColumns({"u": uniform(0), "v": uniform(1)}).withColumn("k", F.when(F.col("n") <= 12, step).otherwise(normal))
-    means = sized.groupBy("name", "i").agg((F.sum(F.col("k") * F.col("d")) / F.nullif(F.sum("k"), F.lit(0.0))).alias("m"))
+    known = pairs.where("a is not null and b is not null").select("name", (F.col("b") - F.col("a")).alias("d"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+    counted = known.groupBy("name", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    kind = dict(known.dtypes)["name"]
     edge = (1 - level) / 2
-    interval = means.groupBy("name").agg(F.percentile("m", F.array(F.lit(edge), F.lit(1 - edge))).alias("p"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            for name, a, b, n in batch[["name", "a", "b", "n"]].itertuples(index=False):
+                mark = hashlib.blake2b(repr((seed, name, a, b)).encode(), digest_size=8).digest()
+                times = np.random.default_rng(int.from_bytes(mark, "big")).poisson(n, resamples)
+                sums = held.setdefault(name, np.zeros((2, resamples)))
+                sums += (times * (b - a), times)
+        yield pd.DataFrame([(k, v[0], v[1]) for k, v in held.items()], columns=["name", "upper", "lower"])
+
+    def interval(group: pd.DataFrame) -> pd.DataFrame:
+        upper, lower = (np.sum(np.stack(group[c].to_numpy()), 0) for c in ("upper", "lower"))
+        low, high = np.quantile(upper[lower > 0] / lower[lower > 0], [edge, 1 - edge]) if (lower > 0).any() else (None, None)
+        return pd.DataFrame([(group["name"].iloc[0], low, high)], columns=["name", "low", "high"])
+
+    drawn = counted.mapInPandas(draw, f"name {kind}, upper array<double>, lower array<double>")
+    ends = drawn.groupBy("name").applyInPandas(interval, f"name {kind}, low double, high double")
     whole = known.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("difference"))
-    return whole.join(interval, "name").select("name", "n", "difference", F.get("p", F.lit(0)).alias("low"), F.get("p", F.lit(1)).alias("high"))
+    return whole.join(ends, "name").select("name", "n", "difference", "low", "high")

@@ -72,9 +72,9 @@ def fan_in(edges: DataFrame, ambiguity: Ambiguity | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("rev", "id").agg(F.sum("n").alias("fan_in")).where("fan_in > 0")
 
 
-def ranked_nodes(nodes: DataFrame, edges: DataFrame, ambiguity: Ambiguity | None = None) -> DataFrame:
-    """``rev``, ``id``, ``fan_in`` and ``salience`` of every node."""
-    joined = nodes.select("rev", "id", "qualname").join(fan_in(edges, ambiguity), ["rev", "id"], "left").withColumn("fan_in", F.coalesce("fan_in", F.lit(0)))
+def ranked_nodes(nodes: DataFrame, edges: DataFrame, ambiguity: Ambiguity | None = None, callers: DataFrame | None = None) -> DataFrame:
+    """``rev``, ``id``, ``fan_in`` and ``salience`` of every node; ``callers`` is :func:`fan_in` where it is at hand."""
+    joined = nodes.select("rev", "id", "qualname").join(fan_in(edges, ambiguity) if callers is None else callers, ["rev", "id"], "left").withColumn("fan_in", F.coalesce("fan_in", F.lit(0)))
     return joined.select("rev", "id", "fan_in", F.round(salience(F.col("fan_in"), last_segment(F.col("qualname"))), 6).alias("salience"))
 
 

@@ -138,7 +138,7 @@ def effects_report(spark, d):
 def hit_scopes(spark, d):
     """Where the texts of each revision mention its most called symbol by name, and the innermost definition around each mention."""
     edges = table(spark, d, "edges")
-    asked = base._hubs(edges, base._ambiguity(spark, d)).select("rev", names.last_segment(F.regexp_replace("start", r"^.*::", "")).alias("word"))
+    asked = base._hubs(graph.fan_in(edges, base._ambiguity(spark, d))).select("rev", names.last_segment(F.regexp_replace("start", r"^.*::", "")).alias("word"))
     wanted = broadcast_if_small(cut(asked.select("word").distinct()))
     found = cut(search.words_of(_texts(spark, d)).join(wanted, "word", "left_semi"))
     hits = base._snapshot(spark, d).join(found, "blob_sha").join(broadcast_if_small(cut(asked)), ["rev", "word"], "left_semi")

@@ -43,9 +43,9 @@ def _ambiguity(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("call", "b
     return graph.Ambiguity(cut(means), refs)
 
 
-def _hubs(edges: DataFrame, ambiguity: graph.Ambiguity) -> DataFrame:
+def _hubs(callers: DataFrame) -> DataFrame:
     """The symbol with the most callers in each revision."""
-    best = graph.fan_in(edges, ambiguity).groupBy("rev").agg(F.max_by("id", F.struct("fan_in", "id")).alias("start"))
+    best = callers.groupBy("rev").agg(F.max_by("id", F.struct("fan_in", "id")).alias("start"))
     return cut(best)
 
 
@@ -248,7 +248,8 @@ def override_pairs(spark, d):
 
 def _reached(spark, d):
     edges, open_ = _t(spark, d, "edges"), _ambiguity(spark, d)
-    return graph.reach_back(edges, _hubs(edges, open_), HOPS, open_), open_
+    callers = cut(graph.fan_in(edges, open_))
+    return graph.reach_back(edges, _hubs(callers), HOPS, open_), callers
 
 
 def impact_hops(spark, d):
@@ -261,8 +262,8 @@ def impact_truncated(spark, d):
 
 
 def _impact(spark, d):
-    (reached, _), open_ = _reached(spark, d)
-    known = graph.ranked_nodes(_symbols(spark, d), _t(spark, d, "edges"), open_)
+    (reached, _), callers = _reached(spark, d)
+    known = graph.ranked_nodes(_symbols(spark, d), _t(spark, d, "edges"), callers=callers)
     x = reached.join(known, ["rev", "id"]).withColumn("path", F.substring_index("id", "::", 1))
     name = F.regexp_replace("id", r"^.*(::|\.)", "")
     return x.withColumns({"score": F.round(names.impact_score(F.col("hop"), F.col("rank"), F.col("salience")), 6), "test": F.startswith("path", F.lit("tests/")) | F.startswith(name, F.lit("test_"))})
@@ -271,7 +272,7 @@ def _impact(spark, d):
 def impact_ranked(spark, d):
     """The best rows: dependents, then tests in what is left of the budget; weak ones in a small budget of their own."""
     section = F.when(F.col("rank") == 0, "low_confidence").when(F.col("test"), "tests").otherwise("dependents")
-    x = _impact(spark, d).withColumn("section", section).withColumn("low", F.col("rank") == 0)
+    x = cut(_impact(spark, d).withColumn("section", section).withColumn("low", F.col("rank") == 0))
     best = [F.col("score").desc(), F.col("id")]
     strong = graph.budget(x.where("not low"), ["rev"], [F.col("section"), *best], LIMIT)
     weak = graph.budget(x.where("low"), ["rev"], best, LOW_LIMIT)
