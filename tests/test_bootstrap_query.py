@@ -6,7 +6,7 @@ from graphmill.operators import evaluate
 from graphmill.plans import symbol_graph
 
 
-def test_bootstrap_ci_draws_as_often_as_the_reference(spark, data_dir, monkeypatch):
+def test_bootstrap_ci_draws_twenty_thousand_times(spark, data_dir, monkeypatch):
     bound = inspect.signature(evaluate.paired_bootstrap)
     seen = []
     monkeypatch.setattr(evaluate, "paired_bootstrap", lambda *a, **k: seen.append(bound.bind(*a, **k)))
