@@ -6,7 +6,7 @@ the targets of its first step that has any.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,7 +84,7 @@ def lookup_dotted(wanted: DataFrame, modules: DataFrame, symbols: DataFrame, ali
     return done if done is not None else state.select("rev", "dotted", F.col("now").alias("dst"))
 
 
-def resolve_parsed(tree: DataFrame, nodes: DataFrame, refs: DataFrame, imports: DataFrame, bindings: DataFrame, roots: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def resolve_parsed(tree: DataFrame, nodes: DataFrame, refs: DataFrame, imports: DataFrame, bindings: DataFrame, roots: Sequence[str] = (), more_steps: Sequence[Callable[[DataFrame, DataFrame], DataFrame]] = ()) -> tuple[DataFrame, DataFrame]:
     """Links and open references of parsed texts in every revision.
 
     Steps, the first that finds anything counts: 1 imported, 2 defined in the module, 3 ``super``, 4 ``self`` along the ancestors
@@ -92,6 +92,8 @@ def resolve_parsed(tree: DataFrame, nodes: DataFrame, refs: DataFrame, imports:
     class is also a call of the constructor it has. Calls through a decorator that may replace them are at most MEDIUM.
 
     :param tree: ``rev``, ``path``, ``blob_sha``; the others are the relations of the parser
+    :param more_steps: further steps, tried in turn after these: from the references (``rev``, ``path``, ``ordinal``, ``scope``, ``ref_kind``, ``name``,
+        ``line``, ``src``) and the live symbols (``rev``, ``id``, ``path``, ``qualname``, ``kind``) to ``rev``, ``path``, ``ordinal``, ``dst``, ``rank``
     :returns: edges ``rev``, ``src``, ``dst``, ``kind``, ``confidence``, ``provenance``, ``callsite_path``, ``callsite_line``;
         and ``rev``, ``src``, ``path``, ``line``, ``raw_name``, ``ref_kind``, ``reason``, ``candidates``
     """
@@ -153,6 +155,8 @@ def resolve_parsed(tree: DataFrame, nodes: DataFrame, refs: DataFrame, imports:
     last = segment.where("candidates = 1").select(*key, F.col("only").alias("dst"), F.lit(6).alias("step"), F.lit(1).alias("rank"))
 
     offers = named.unionByName(to_super).unionByName(declared.drop("cls", "m")).unionByName(overridden).unionByName(by_receiver).unionByName(last)
+    for n, step in enumerate(more_steps):
+        offers = offers.unionByName(step(calls, live).select(*key, "dst", F.lit(7 + n).alias("step"), F.col("rank").cast("int").alias("rank")))
     first = offers.groupBy(*key).agg(F.min("step").alias("step"))
     won = offers.join(first, [*key, "step"]).groupBy(*key, "dst", "step").agg(F.max("rank").alias("rank"))
     built = won.join(nearest.where("m = '__init__'").select("rev", F.col("cls").alias("dst"), F.col("id").alias("init")), ["rev", "dst"])

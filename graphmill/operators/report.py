@@ -60,6 +60,19 @@ def highlighted(reports: DataFrame) -> DataFrame:
     return x.select("report", F.explode(ids).alias("id")).where("contains(id, '::')").distinct()
 
 
+def report_label(reports: DataFrame) -> DataFrame:
+    """``report``, ``label``: what a report in JSON is about, the first of its ``symbol``, ``from`` and ``to``, else the titles of its groups."""
+    x = reports.select("report", F.from_json("json", "summary struct<symbol:string,`from`:string,`to`:string>, groups array<struct<title:string>>").alias("r"))
+    titles = F.array_join(F.transform(F.coalesce("r.groups", F.array()), lambda g: g["title"]), ", ")
+    return x.select("report", F.coalesce("r.summary.symbol", "r.summary.from", "r.summary.to", F.nullif(titles, F.lit(""))).alias("label"))
+
+
+def with_sessions(rows: DataFrame, sessions: DataFrame, commit: str = "rev") -> DataFrame:
+    """Rows of a history with ``sessions``, the pointers of their commit (``commit``, ``sessions``); an empty list where there are none."""
+    known = sessions.select(F.col("commit").alias(commit), "sessions").dropDuplicates([commit])
+    return rows.join(known, commit, "left").withColumn("sessions", F.coalesce("sessions", F.array().cast("array<string>")))
+
+
 def replace_marked(lines: Column, begin: str, end: str, block: Sequence[str]) -> Column:
     """Lines of a text with exactly one marked block: the first is replaced in place, others are removed, and it is added at the end where there is none.
 

@@ -102,13 +102,16 @@ def symbols(spark, d):
 
 
 def index_stats(spark, d):
-    """Paths, parsed texts, errors, shadowed definitions, and links by provenance per revision."""
+    """Paths, distinct texts, parsed ones, errors, shadowed definitions, links by provenance, and open references by reason per revision."""
     at = _snapshot(spark, d)
     errors = _t(spark, d, "blobs").where("status = 'error'").select(plain_sha(F.col("blob_sha")).alias("blob_sha")).distinct().withColumn("bad", F.lit(1))
     paths = at.join(errors, "blob_sha", "left").groupBy("rev").agg(F.count(F.lit(1)).alias("n_paths"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_errors"))
+    known = _t(spark, d, "blobs").where("status = 'ok'").select(plain_sha(F.col("blob_sha")).alias("blob_sha"), F.lit(1).alias("ok")).distinct()
+    texts = at.select("rev", "blob_sha").distinct().join(known, "blob_sha", "left").groupBy("rev").agg(F.count(F.lit(1)).alias("n_texts"), F.count("ok").alias("n_parsed"))
+    open_ = _resolved(spark, d).where("reason is not null").groupBy("rev").agg(*[F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("unknown", "ambiguous", "external", "builtin")])
     shadowed = _symbols(spark, d).where("name_binding = 'shadowed'").groupBy("rev").agg(F.count(F.lit(1)).alias("n_shadowed"))
     links = graph.links_only(_t(spark, d, "edges")).groupBy("rev").agg(F.count_if(F.col("provenance") == "static").alias("n_static"), F.count_if(F.col("provenance") == "runtime").alias("n_runtime"))
-    return paths.join(shadowed, "rev", "left").join(links, "rev", "left").na.fill(0)
+    return paths.join(texts, "rev", "left").join(shadowed, "rev", "left").join(links, "rev", "left").join(open_, "rev", "left").na.fill(0)
 
 
 # ---- names
@@ -189,9 +192,9 @@ def unknown_rows(spark, d):
 
 
 def reference_ratio(spark, d):
-    """Share of reference sites that are linked, per revision."""
-    x = _resolved(spark, d)
-    counts = x.groupBy("rev").agg(F.count_if(F.col("step").isNotNull()).alias("linked"), F.count(F.lit(1)).alias("n"))
+    """Share of reference sites, lines of a file, at which anything is linked, per revision."""
+    sites = _resolved(spark, d).groupBy("rev", "path", "line").agg(F.bool_or(F.col("step").isNotNull()).alias("linked"))
+    counts = sites.groupBy("rev").agg(F.count_if("linked").alias("linked"), F.count(F.lit(1)).alias("n"))
     return counts.select("rev", "linked", "n", F.round(F.col("linked") / F.col("n"), 6).alias("ratio"))
 
 
@@ -459,10 +462,9 @@ def components(spark, d):
 
 
 def islands_summary(spark, d):
-    """Islands of symbols per revision: modules connect but are no members, and a symbol without links is an island."""
-    members = _symbols(spark, d).where("kind != 'module'").select("rev", "id").distinct()
-    sized = members.join(graph.connected(_t(spark, d, "edges")), ["rev", "id"], "left").groupBy("rev", F.coalesce("island", "id").alias("island")).agg(F.count(F.lit(1)).alias("n"))
-    return sized.groupBy("rev").agg(F.sum("n").alias("symbols"), F.count(F.lit(1)).alias("islands"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singletons"))
+    """Islands of symbols per revision: modules connect but are no members, and a symbol without links is an island; which were seen running, and which nothing explains."""
+    traced = F.array_contains(F.split("mechanisms", " "), "traced")
+    return island_mechanisms(spark, d).groupBy("rev").agg(F.sum("n").alias("symbols"), F.count(F.lit(1)).alias("islands"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singletons"), F.count_if(traced).alias("traced"), F.count_if(~F.col("explained")).alias("unexplained"))
 
 
 def island_merge_split(spark, d):

@@ -149,11 +149,13 @@ ORACLES = {
     "parse_cache_antijoin": f"WITH {_TREE} SELECT DISTINCT sha AS blob_sha FROM snap WHERE sha NOT IN (SELECT lower(blob_sha) FROM blobs WHERE status = 'ok' AND blob_sha IS NOT NULL)",
     "gc_removed": f"WITH {_TREE} SELECT DISTINCT lower(blob_sha) AS blob_sha FROM blobs WHERE blob_sha <> '' AND lower(blob_sha) NOT IN (SELECT sha FROM snap JOIN revs USING (rev) WHERE idx >= (SELECT max(idx) - 1 FROM revs))",
     "symbols": f"WITH {_SYMBOLS} SELECT * FROM symbols",
-    "index_stats": f"""WITH {_SYMBOLS}, {_LINKS},
+    "index_stats": f"""WITH {_RESOLVED}, {_LINKS},
+        t AS (SELECT rev, count(DISTINCT sha) AS n_texts, count(DISTINCT sha) FILTER (sha IN (SELECT lower(blob_sha) FROM blobs WHERE status = 'ok' AND blob_sha IS NOT NULL)) AS n_parsed FROM snap GROUP BY rev),
+        o AS (SELECT rev, {", ".join(f"count(*) FILTER (reason = '{r}') AS n_{r}" for r in ("unknown", "ambiguous", "external", "builtin"))} FROM resolved GROUP BY rev),
         p AS (SELECT rev, count(*) AS n_paths, count(*) FILTER (sha IN (SELECT lower(blob_sha) FROM blobs WHERE status = 'error' AND blob_sha IS NOT NULL)) AS n_errors FROM snap GROUP BY ALL),
         s AS (SELECT rev, count(*) AS n_shadowed FROM symbols WHERE name_binding = 'shadowed' GROUP BY ALL),
         e AS (SELECT rev, count(*) FILTER (provenance = 'static') AS n_static, count(*) FILTER (provenance = 'runtime') AS n_runtime FROM l GROUP BY ALL)
-        SELECT rev, n_paths, n_errors, coalesce(n_shadowed, 0) AS n_shadowed, coalesce(n_static, 0) AS n_static, coalesce(n_runtime, 0) AS n_runtime FROM p LEFT JOIN s USING (rev) LEFT JOIN e USING (rev)""",
+        SELECT rev, n_paths, n_errors, n_texts, n_parsed, coalesce(n_shadowed, 0) AS n_shadowed, coalesce(n_static, 0) AS n_static, coalesce(n_runtime, 0) AS n_runtime, {", ".join(f"coalesce(n_{r}, 0) AS n_{r}" for r in ("unknown", "ambiguous", "external", "builtin"))} FROM p JOIN t USING (rev) LEFT JOIN s USING (rev) LEFT JOIN e USING (rev) LEFT JOIN o USING (rev)""",
     "path_modules": rf"""WITH {_TREE}, p AS (SELECT DISTINCT path FROM snap), m AS (SELECT path, {_MODULE.format("regexp_replace(path, '^(lib|packages)/', '')")} AS module FROM p)
         SELECT path, module, CASE WHEN regexp_matches(path, '(^|/)__init__\.py$') THEN module ELSE regexp_replace(module, '\.?[^.]*$', '') END AS package, {_TESTS.format("path")} AS is_test FROM m""",
     "name_parts": r"""SELECT DISTINCT qualname, regexp_extract(qualname, '[^.]*$') AS segment, nullif(regexp_replace(regexp_extract(qualname, '^(.*)\.[^.]*$', 1), '\.<locals>$', ''), '') AS parent,
@@ -171,7 +173,7 @@ ORACLES = {
     "cascade": f"WITH {_RESOLVED} SELECT * FROM resolved",
     "unresolved_pivot": f"WITH {_RESOLVED} SELECT rev, src, {', '.join(f'''count(*) FILTER (reason = '{r}') AS {r}''' for r in ('unknown', 'ambiguous', 'external', 'builtin'))} FROM resolved WHERE reason IS NOT NULL GROUP BY ALL",
     "unknown_rows": f"WITH {_RESOLVED} SELECT rev, src, row_number() OVER (PARTITION BY rev, src ORDER BY list_position(['unknown', 'ambiguous', 'external', 'builtin'], reason), path, line, name, ordinal) AS place, reason, path, line, name, candidates FROM resolved WHERE reason IS NOT NULL QUALIFY place <= 40",
-    "reference_ratio": f"WITH {_RESOLVED} SELECT rev, count(step) AS linked, count(*) AS n, round(count(step) / count(*), 6) AS ratio FROM resolved GROUP BY ALL",
+    "reference_ratio": f"WITH {_RESOLVED}, sites AS (SELECT rev, path, line, count(step) > 0 AS linked FROM resolved GROUP BY ALL) SELECT rev, count(*) FILTER (linked) AS linked, count(*) AS n, round(count(*) FILTER (linked) / count(*), 6) AS ratio FROM sites GROUP BY rev",
     "hub_edges": f"""WITH {_RESOLVED}, o AS (SELECT DISTINCT rev, src, regexp_extract(name, '[^.]*$') AS hub FROM resolved WHERE reason = 'ambiguous')
         SELECT rev, src, '*' || hub AS dst FROM o UNION ALL SELECT DISTINCT rev, '*' || regexp_extract(qualname, '[^.]*$'), id FROM symbols WHERE name_binding = 'live' AND kind <> 'module' AND (rev, regexp_extract(qualname, '[^.]*$')) IN (SELECT (rev, hub) FROM o)""",
     "edge_collapse": f"WITH {_PAIRS} SELECT * FROM pairs",
@@ -205,8 +207,6 @@ ORACLES = {
         s AS (SELECT rev, coalesce(island, id) AS island, count(*) AS n, {", ".join(f"bool_or({k}) AS {k}" for k in ("entry", "dunder", "decorator", "test", "override", "nested", "traced"))} FROM x LEFT JOIN cc USING (rev, id) GROUP BY rev, coalesce(island, id))
         SELECT rev, island, n, concat_ws(' ', {", ".join(f"CASE WHEN {k} THEN '{k}' END" for k in ("entry", "dunder", "decorator", "test", "override", "nested", "traced"))}) AS mechanisms, (entry OR dunder OR decorator OR test OR override OR nested OR traced) AS explained FROM s""",
     "components": f"WITH RECURSIVE {_LINKS}, {_SYM}, {_CC} SELECT * FROM cc",
-    "islands_summary": f"""WITH RECURSIVE {_SYMBOLS}, {_LINKS}, {_SYM}, {_CC}, s AS (SELECT rev, coalesce(island, id) AS island, count(*) AS n FROM (SELECT DISTINCT rev, id FROM symbols WHERE kind <> 'module') LEFT JOIN cc USING (rev, id) GROUP BY ALL)
-        SELECT rev, sum(n)::BIGINT AS symbols, count(*) AS islands, max(n) AS largest, count(*) FILTER (n = 1) AS singletons FROM s GROUP BY ALL""",
     "island_merge_split": f"""WITH RECURSIVE {_TREE}, {_LINKS}, {_SYM}, {_CC}, n AS (SELECT idx, id, island FROM cc JOIN revs USING (rev)), c AS (SELECT DISTINCT b.idx AS step, a.island AS old, b.island AS new FROM n a JOIN n b ON b.id = a.id AND b.idx = a.idx + 1)
         SELECT step, 'merge' AS change, new AS island, count(*) AS n_parts FROM c GROUP BY ALL HAVING n_parts > 1 UNION ALL SELECT step, 'split', old, count(*) AS n_parts FROM c GROUP BY ALL HAVING n_parts > 1""",
     "test_only_symbols": rf"""WITH {_SYMBOLS}, {_LINKS}, c AS (SELECT DISTINCT rev, src, dst AS id FROM l WHERE kind = 'CALLS' AND src <> dst), j AS (SELECT rev, id, count(*) AS callers FROM c GROUP BY ALL HAVING bool_and({_TESTS.format("string_split(src, '::')[1]")}))
@@ -250,8 +250,11 @@ def history_sql() -> str:
 
 
 def _late() -> dict[str, str]:
+    islands = ORACLES["island_mechanisms"]
+    at = islands.rindex("        SELECT rev, island, n, concat_ws")
     direct, history = _direct(), history_sql()
     return {
+        "islands_summary": islands[:at] + "SELECT rev, sum(n)::BIGINT AS symbols, count(*) AS islands, max(n) AS largest, count(*) FILTER (n = 1) AS singletons, count(*) FILTER (traced) AS traced, count(*) FILTER (NOT (entry OR dunder OR decorator OR test OR override OR nested OR traced)) AS unexplained FROM s GROUP BY rev",
         "direct_effects": f"WITH {_TREE}, {_REFS}, {direct} SELECT * FROM direct",
         "glob_best_match": f"WITH {_REFS}, {_rules()} SELECT name, a.effect AS effect, a.rank AS rank, a.match AS \"match\" FROM ruled",
         "widest_path_effects": (wide := f"""WITH RECURSIVE {_TREE}, {_REFS}, {direct}, {_LINKS}, calls AS (SELECT rev, src, dst, max(rank) AS rank FROM l WHERE kind = 'CALLS' AND src <> dst GROUP BY ALL HAVING max(rank) IS NOT NULL), own AS (SELECT rev, id, effect, max(rank) AS rank FROM direct GROUP BY ALL),

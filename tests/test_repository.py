@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphmill.functions import names
-from graphmill.operators import imports, incremental, resolve, search, traces
-from graphmill.sources import files, git
+from graphmill.operators import imports, incremental, report, resolve, search, traces
+from graphmill.sources import files, git, python_source
 
 
 @pytest.fixture(scope="module")
@@ -113,3 +113,21 @@ def test_division_along_ancestors(spark):
     order = spark.createDataFrame([("r", f"p.py::{c}", f"p.py::{a}", d) for c, a, d in (("P", "P", 0), ("P", "Q", 1), ("Has", "Has", 0), ("Has", "Base", 1), ("Heir", "Heir", 0), ("Heir", "P", 1), ("Heir", "Q", 2))], "rev string, cls string, anc string, depth int")
     got = {(r.protocol[6:], r.id[6:]) for r in resolve.containing_classes(symbols, required, order).collect()}
     assert got == {("P", "Has"), ("Q", "Base"), ("Q", "Has")}
+
+
+def test_labels_sessions_and_further_steps(spark):
+    made = spark.createDataFrame([("a", '{"summary": {"symbol": "p.py::f"}, "groups": []}'), ("b", '{"summary": {}, "groups": [{"title": "x"}, {"title": "y"}]}'), ("c", "{}")], "report string, json string")
+    assert {r.report: r.label for r in report.report_label(made).collect()} == {"a": "p.py::f", "b": "x, y", "c": None}
+    rows = report.with_sessions(spark.createDataFrame([("r1", 1), ("r2", 2)], "rev string, n int"), spark.createDataFrame([("r1", ["s"])], "commit string, sessions array<string>"))
+    assert {r.rev: r.sessions for r in rows.collect()} == {"r1": ["s"], "r2": []}
+
+    parsed = python_source.parse_texts(spark.createDataFrame([("s", "def known(): pass\n\ndef use():\n    plugin_known()\n")], "blob_sha string, content string"))
+    parts = [python_source.relation(parsed, x) for x in ("nodes", "refs", "imports", "bindings")]
+
+    def plugins(uses, symbols):
+        named = symbols.select("rev", F.col("id").alias("dst"), F.concat(F.lit("plugin_"), "qualname").alias("name"))
+        return uses.join(named, ["rev", "name"]).withColumn("rank", F.lit(0))
+
+    tree = spark.createDataFrame([("r", "m.py", "s")], "rev string, path string, blob_sha string")
+    assert imports.resolve_parsed(tree, *parts)[0].count() == 0
+    assert [(r.src, r.dst, r.confidence) for r in imports.resolve_parsed(tree, *parts, more_steps=[plugins])[0].collect()] == [("m.py::use", "m.py::known", "LOW")]
