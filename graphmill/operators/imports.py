@@ -7,14 +7,15 @@ the targets of its first step that has any.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.functions.names import absolute_module, last_segment, module_of_path, package_of_path, tier_name
 from graphmill.operators import hierarchy
 from graphmill.operators.resolve import BUILTINS
-from graphmill.workspace import cut, rows_of
+from graphmill.workspace import broadcast_if_small, cut, drop, rows_of
 
 #: Re-exports followed, one module after another.
 REEXPORTS = 8
@@ -65,23 +66,26 @@ def lookup_dotted(wanted: DataFrame, modules: DataFrame, symbols: DataFrame, ali
     next part is followed, at most :data:`REEXPORTS` times and never back to a name seen before.
 
     :param wanted: ``rev``, ``dotted``
-    :param modules: ``rev``, ``module``, ``path``
-    :param symbols: ``rev``, ``path``, ``qualname``, ``id`` of live definitions
+    :param modules: ``rev``, ``module``, ``file``
+    :param symbols: ``file``, ``qualname``, ``id`` of live definitions
+    :param aliases: ``file``, ``alias``, ``target``
     """
-    live = symbols.select("rev", "path", F.col("qualname").alias("rest"), "id")
+    live = symbols.select("file", F.col("qualname").alias("rest"), "id")
     state = cut(wanted.distinct().select("rev", "dotted", F.col("dotted").alias("now"), F.array("dotted").alias("seen")))
     done = None
     for _ in range(REEXPORTS + 1):
         if not rows_of(state):
             break
         split = cut(_splits(state, "now").join(modules, ["rev", "module"]))
-        hits = cut(split.join(live, ["rev", "path", "rest"]).groupBy("rev", "dotted").agg(F.max_by("id", "n").alias("dst")))
+        drop(state)
+        hits = cut(split.join(live, ["file", "rest"]).groupBy("rev", "dotted").agg(F.max_by("id", "n").alias("dst")))
         done = hits if done is None else done.unionByName(hits)
         open_ = split.join(hits, ["rev", "dotted"], "left_anti").withColumn("alias", F.substring_index("rest", ".", 1))
-        onward = open_.join(aliases, ["rev", "path", "alias"]).withColumn("next", F.concat_ws(".", "target", F.nullif(F.regexp_replace("rest", r"^[^.]*\.?", ""), F.lit(""))))
+        onward = open_.join(aliases, ["file", "alias"]).withColumn("next", F.concat_ws(".", "target", F.nullif(F.regexp_replace("rest", r"^[^.]*\.?", ""), F.lit(""))))
         fresh = onward.where(~F.array_contains("seen", F.col("next")))
         state = cut(fresh.groupBy("rev", "dotted").agg(F.max_by(F.struct("next", "seen"), "n").alias("x")).select("rev", "dotted", F.col("x.next").alias("now"), F.concat("x.seen", F.array("x.next")).alias("seen")))
-    return done if done is not None else state.select("rev", "dotted", F.col("now").alias("dst"))
+        drop(split)
+    return done if done is not None else wanted.join(modules, "rev").join(live, "file").select("rev", "dotted", F.col("id").alias("dst")).where(F.lit(False))
 
 
 def resolve_parsed(tree: DataFrame, nodes: DataFrame, refs: DataFrame, imports: DataFrame, bindings: DataFrame, roots: Sequence[str] = (), more_steps: Sequence[Callable[[DataFrame, DataFrame], DataFrame]] = ()) -> tuple[DataFrame, DataFrame]:
@@ -91,85 +95,135 @@ def resolve_parsed(tree: DataFrame, nodes: DataFrame, refs: DataFrame, imports:
     with overrides below, 5 a receiver all of whose bindings are known classes, 6 the only symbol of that last segment. A call of a
     class is also a call of the constructor it has. Calls through a decorator that may replace them are at most MEDIUM.
 
+    Snapshots repeat each other, so whatever a text at a path decides alone (owners, aliases, what is bound and defined there) is done
+    once per file, a pair of both; files, revisions and symbols travel as numbers, and names come back with the links.
+
     :param tree: ``rev``, ``path``, ``blob_sha``; the others are the relations of the parser
     :param more_steps: further steps, tried in turn after these: from the references (``rev``, ``path``, ``ordinal``, ``scope``, ``ref_kind``, ``name``,
         ``line``, ``src``) and the live symbols (``rev``, ``id``, ``path``, ``qualname``, ``kind``) to ``rev``, ``path``, ``ordinal``, ``dst``, ``rank``
     :returns: edges ``rev``, ``src``, ``dst``, ``kind``, ``confidence``, ``provenance``, ``callsite_path``, ``callsite_line``;
         and ``rev``, ``src``, ``path``, ``line``, ``raw_name``, ``ref_kind``, ``reason``, ``candidates``
     """
+    tree = cut(tree.select("rev", "path", "blob_sha"))
+    revs = broadcast_if_small(cut(tree.select("rev").distinct().withColumn("r", F.monotonically_increasing_id())))
+    files = cut(tree.select("path", "blob_sha").distinct().withColumn("file", F.monotonically_increasing_id()))
+    at = cut(tree.join(revs, "rev").join(files, ["path", "blob_sha"]).select("r", "file"))
     suffix = F.when(F.col("name_binding") == "shadowed", F.concat(F.lit("#"), F.col("shadow_index").cast("string"))).otherwise("")
-    symbols = cut(tree.join(nodes, "blob_sha").withColumn("id", F.concat("path", F.lit("::"), "qualname", suffix)))
+    wraps = F.coalesce(F.exists("decorators", lambda x: ~F.substring_index(x, ".", -1).isin(*TRANSPARENT)), F.lit(False))
+    symbols = cut(files.join(nodes, "blob_sha").select("file", "qualname", "kind", "line_start", "line_end", "name_binding", F.concat("path", F.lit("::"), "qualname", suffix).alias("id"), wraps.alias("wrapped")).withColumn("n", F.monotonically_increasing_id()))
     live = symbols.where("name_binding = 'live'")
-    modules = cut(tree.select("rev", module_of_path(F.col("path"), roots).alias("module"), "path").groupBy("rev", "module").agg(F.min("path").alias("path")))
-    aliases = cut(import_map(tree, imports, roots))
-    placed = cut(tree.join(refs, "blob_sha").select("rev", "path", "blob_sha", "ordinal", F.col("from_qualname").alias("scope"), "ref_kind", F.col("raw_name").alias("name"), "line"))
+    modules = cut(at.join(files.select("file", "path", module_of_path(F.col("path"), roots).alias("module")), "file").groupBy("r", "module").agg(F.min(F.struct("path", "file")).alias("x")).select(F.col("r").alias("rev"), "module", "x.file"))
+    aliases = cut(import_map(files.select(F.col("file").alias("rev"), "path", "blob_sha"), imports, roots).where("alias is not null").select(F.col("rev").alias("file"), "alias", "target"))
+    use = ["file", "ordinal"]
+    key = ["r", *use]
+
+    # A file with its revisions, definitions and aliases: no more than its text holds.
+    defs = symbols.groupBy("file").agg(F.collect_list(F.struct("qualname", "id", "n", "line_start", "line_end", (F.col("name_binding") == "live").alias("live"))).alias("defs"))
+    meanings = aliases.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("alias", "target"))).alias("aliases"))
+    full = cut(files.join(at.groupBy("file").agg(F.collect_list("r").alias("rs")), "file").join(defs, "file", "left").join(meanings, "file", "left"))
+
+    def defined(name: Column) -> Column:
+        return F.get(F.filter("defs", lambda x: x["live"] & (x["qualname"] == name)), F.lit(0))["n"]
+
+    def owners(which: Callable[[Column], Column]) -> Column:
+        return F.array_min(F.transform(F.filter("defs", lambda x: (x["qualname"] == F.col("scope")) & which(x)), lambda x: F.struct(x["id"].alias("id"), x["n"].alias("n"))))
+
+    target, tail = F.col("aliases")[F.substring_index("name", ".", 1)], F.nullif(F.regexp_replace("name", r"^[^.]*\.?", ""), F.lit(""))
+    # What a name means in its file: as it was imported, and defined there.
+    meaning = {"dotted": F.when(target.isNotNull(), F.concat_ws(".", target, tail)), "here": defined(F.col("name"))}
+    placed = refs.select("blob_sha", "ordinal", F.col("from_qualname").alias("scope"), "ref_kind", F.col("raw_name").alias("name"), "line").where("ref_kind != 'global'").join(full, "blob_sha")
+    attributed = placed.withColumns({"a": owners(lambda x: F.col("line").between(x["line_start"], x["line_end"])), "b": owners(lambda x: x["live"]), "holder": F.regexp_replace("scope", r"\.[^.]+$", ""), **meaning})
+    by_class = F.col("name").rlike(r"^<super>\.|^(self|cls)\.\w+$")
+    uses = cut(attributed.select("file", "ordinal", "scope", "ref_kind", "name", "line", "path", F.coalesce("a.id", "b.id", F.concat("path", F.lit("::"), "scope")).alias("src"), F.coalesce("a.n", "b.n").alias("src_n"), F.when(by_class, defined(F.col("holder"))).alias("cls"), "dotted", "here", "rs"))
+    calls = uses.where("ref_kind in ('call', 'value')")
+    # A name that is defined in its file has its target in every revision: further steps are for the others.
+    later = calls.where("here is null")
 
-    bound = bindings.withColumn("type", F.col("type"))
-    typed = tree.join(bound.where("kind in ('annotation', 'call')"), "blob_sha").select("rev", "path", F.col("type").alias("name"))
-    asked = placed.where("ref_kind != 'global'").select("rev", "path", "name").union(typed).distinct()
-    head, tail = F.substring_index("name", ".", 1), F.nullif(F.regexp_replace("name", r"^[^.]*\.?", ""), F.lit(""))
-    imported = asked.withColumn("alias", head).join(aliases, ["rev", "path", "alias"]).withColumn("dotted", F.concat_ws(".", "target", tail))
-    found = lookup_dotted(imported.select("rev", "dotted"), modules, live, aliases)
-    by_import = imported.join(found, ["rev", "dotted"]).select("rev", "path", "name", "dst", F.lit(1).alias("step"))
-    in_module = asked.join(live.select("rev", "path", F.col("qualname").alias("name"), F.col("id").alias("dst")), ["rev", "path", "name"]).withColumn("step", F.lit(2))
-    # What a name at hand means, by import or in the module.
-    plain = cut(by_import.unionByName(in_module).groupBy("rev", "path", "name").agg(F.min(F.struct("step", "dst")).alias("x")).select("rev", "path", "name", "x.step", "x.dst"))
-
-    owner = symbols.select("rev", "path", F.col("qualname").alias("scope"), F.col("id").alias("owner"), "line_start", "line_end", "name_binding")
-    inside = F.col("line").between(F.col("line_start"), F.col("line_end"))
-    attributed = placed.join(owner, ["rev", "path", "scope"], "left").groupBy(*placed.columns).agg(F.min(F.when(inside, F.col("owner"))).alias("a"), F.min(F.when(F.col("name_binding") == "live", F.col("owner"))).alias("b"))
-    uses = cut(attributed.select(*placed.columns, F.coalesce("a", "b", F.concat("path", F.lit("::"), "scope")).alias("src")))
-    key = ["rev", "path", "ordinal"]
-
-    based = uses.where("ref_kind = 'base'").join(plain, ["rev", "path", "name"])
-    inherits = based.select("rev", F.col("src").alias("sub"), F.col("dst").alias("base"), F.col("ordinal").alias("ord"))
-    roots_only = live.where("kind = 'class'").select("rev", F.col("id").alias("cls"))
+    received = later.where(F.col("name").rlike(r"^(self\.)?\w+\.\w+$") & ~F.col("name").rlike(r"^(self|cls)\.\w+$")).withColumns({"var": F.regexp_replace("name", r"\.\w+$", ""), "m": last_segment(F.col("name"))})
+    there = F.when(F.startswith("var", F.lit("self.")), F.regexp_replace("scope", r"\.[^.]+$", "")).otherwise(F.col("scope"))
+    scoped = received.withColumn("at", F.explode(F.array(F.struct(F.lit(0).alias("far"), there.alias("s")), F.struct(F.lit(1).alias("far"), F.lit("<module>").alias("s"))))).select(*use, "var", "m", "at.far", F.col("at.s").alias("bs"))
+    # A variable that may also be None is still what else it is bound to; None alone says nothing.
+    bound = bindings.where("kind != 'none'").select("blob_sha", F.col("scope").alias("bs"), F.col("name").alias("var"), F.col("kind").alias("bkind"), F.when(F.col("kind") != "opaque", F.col("type")).alias("name"))
+    meant = cut(scoped.join(files.select("file", "blob_sha"), "file").join(bound, ["blob_sha", "bs", "var"]).select(*use, "m", "far", "bkind", "name").distinct())
+    # One binding of the nearest scope that names no type leaves the receiver open, in every revision.
+    near = meant.groupBy(*use, "far").agg(F.every(F.col("name").isNotNull()).alias("named"), F.count(F.lit(1)).alias("k")).groupBy(*use).agg(F.min(F.struct("far", "named", "k")).alias("x")).where("x.named").select(*use, "x.far", "x.k")
+    known = cut(meant.join(near, [*use, "far"]).join(full.drop("blob_sha", "path"), "file").withColumns(meaning).select(*use, "m", "name", "k", "dotted", "here", "rs"))
+
+    imported = cut(uses.unionByName(known, allowMissingColumns=True).where("dotted is not null").select("file", "name", "dotted", "here").distinct())
+    found = lookup_dotted(imported.select("file", "dotted").distinct().join(at, "file").select(F.col("r").alias("rev"), "dotted"), modules, live.select("file", "qualname", F.col("n").alias("id")), aliases)
+    hit = cut(imported.join(at, "file").join(found.withColumnRenamed("rev", "r"), ["r", "dotted"]).groupBy("file", "name", "dst").agg(F.collect_list("r").alias("found")))
+    covered = hit.groupBy("file", "name").agg(F.flatten(F.collect_list("found")).alias("covered"))
+    rest = imported.where("here is not null").join(covered, ["file", "name"], "left").join(full.select("file", "rs"), "file")
+    rest = rest.select("file", "name", F.col("here").alias("dst"), F.when(F.col("covered").isNull(), F.col("rs")).otherwise(F.array_except("rs", "covered")).alias("found")).where("size(found) > 0")
+    plain = cut(hit.unionByName(rest))
+
+    def means(names: DataFrame) -> DataFrame:
+        """What names mean by import or in their file: ``dst`` in the revisions ``rs``."""
+        by_import = names.where("dotted is not null").drop("rs").join(plain, ["file", "name"]).withColumnRenamed("found", "rs")
+        return by_import.unionByName(names.where("dotted is null and here is not null").withColumn("dst", F.col("here")))
+
+    based = means(uses.where("ref_kind = 'base'"))
+    inherits = based.where("src_n is not null").select(F.explode("rs").alias("rev"), F.col("src_n").alias("sub"), F.col("dst").alias("base"), F.col("ordinal").alias("ord"))
+    roots_only = live.where("kind = 'class'").join(at, "file").select(F.col("r").alias("rev"), F.col("n").alias("cls"))
     order = hierarchy.ancestors(inherits)
     lone = roots_only.join(order.select("rev", "cls").distinct(), ["rev", "cls"], "left_anti").select("rev", "cls", F.col("cls").alias("anc"), F.lit(0).alias("depth"), F.expr("cast(array() as array<int>)").alias("way"))
     order = cut(order.unionByName(lone))
-    methods = cut(hierarchy.methods_of(symbols))
-    nearest, above, below = cut(hierarchy.nearest_methods(order, methods)), hierarchy.nearest_methods(order, methods, own=False), hierarchy.overriding_methods(order, methods)
-
-    calls = uses.where("ref_kind in ('call', 'value')")
-    own_class = F.concat("path", F.lit("::"), F.regexp_replace("scope", r"\.[^.]+$", ""))
-    to_super = calls.where(F.startswith("name", F.lit("<super>."))).withColumns({"cls": own_class, "m": F.substr("name", F.lit(9))}).join(above, ["rev", "cls", "m"]).select(*key, F.col("id").alias("dst"), F.lit(3).alias("step"), F.lit(2).alias("rank"))
-    on_self = calls.where(F.col("name").rlike(r"^(self|cls)\.\w+$")).withColumns({"cls": own_class, "m": last_segment(F.col("name"))})
-    declared = on_self.join(nearest, ["rev", "cls", "m"]).select(*key, "cls", "m", F.col("id").alias("dst"), F.lit(4).alias("step"), F.lit(2).alias("rank"))
-    overridden = declared.select(*key, "cls", "m").join(below, ["rev", "cls", "m"]).select(*key, F.col("id").alias("dst"), F.lit(4).alias("step"), F.lit(1).alias("rank"))
-
-    received = calls.where(F.col("name").rlike(r"^(self\.)?\w+\.\w+$") & ~F.col("name").rlike(r"^(self|cls)\.\w+$")).withColumns({"var": F.regexp_replace("name", r"\.\w+$", ""), "m": last_segment(F.col("name"))})
-    at = F.when(F.startswith("var", F.lit("self.")), F.regexp_replace("scope", r"\.[^.]+$", "")).otherwise(F.col("scope"))
-    scoped = received.withColumn("at", F.explode(F.array(F.struct(F.lit(0).alias("far"), at.alias("s")), F.struct(F.lit(1).alias("far"), F.lit("<module>").alias("s"))))).select(*received.columns, "at.far", F.col("at.s").alias("bs"))
-    # A variable that may also be None is still what else it is bound to; None alone says nothing.
-    meant = scoped.join(bindings.where("kind != 'none'").select("blob_sha", F.col("scope").alias("bs"), F.col("name").alias("var"), F.col("kind").alias("bkind"), "type"), ["blob_sha", "bs", "var"])
-    near = meant.groupBy(*key).agg(F.min("far").alias("far"))
-    meant = meant.join(near, [*key, "far"]).select(*key, "m", "bkind", F.col("type").alias("name")).distinct()
-    classes = plain.join(live.where("kind = 'class'").select("rev", F.col("id").alias("dst")), ["rev", "dst"], "left_semi").select("rev", "path", "name", F.col("dst").alias("cls"))
-    judged = meant.join(classes, ["rev", "path", "name"], "left").join(nearest.select("rev", "cls", "m", F.col("id").alias("dst")), ["rev", "cls", "m"], "left")
-    sure = judged.groupBy(*key).agg(F.every(F.col("dst").isNotNull() & (F.col("bkind") != "opaque")).alias("all"), F.collect_set("dst").alias("targets"), F.count(F.lit(1)).alias("n")).where("all")
-    by_receiver = sure.select(*key, F.explode("targets").alias("dst"), F.lit(5).alias("step"), F.when(F.col("n") > 1, 1).otherwise(2).alias("rank"))
-
-    named = calls.join(plain, ["rev", "path", "name"]).select(*key, "dst", "step", F.lit(2).alias("rank"))
-    index = live.select("rev", last_segment(F.col("qualname")).alias("segment"), "id").distinct().groupBy("rev", "segment").agg(F.count(F.lit(1)).alias("candidates"), F.min("id").alias("only"))
-    segment = calls.where("ref_kind = 'call'").where(~F.col("name").isin(*BUILTINS)).withColumn("segment", last_segment(F.col("name"))).join(index, ["rev", "segment"])
-    last = segment.where("candidates = 1").select(*key, F.col("only").alias("dst"), F.lit(6).alias("step"), F.lit(1).alias("rank"))
-
-    offers = named.unionByName(to_super).unionByName(declared.drop("cls", "m")).unionByName(overridden).unionByName(by_receiver).unionByName(last)
-    for n, step in enumerate(more_steps):
-        offers = offers.unionByName(step(calls, live).select(*key, "dst", F.lit(7 + n).alias("step"), F.col("rank").cast("int").alias("rank")))
-    first = offers.groupBy(*key).agg(F.min("step").alias("step"))
-    won = offers.join(first, [*key, "step"]).groupBy(*key, "dst", "step").agg(F.max("rank").alias("rank"))
-    built = won.join(nearest.where("m = '__init__'").select("rev", F.col("cls").alias("dst"), F.col("id").alias("init")), ["rev", "dst"])
-    won = won.unionByName(built.select(*key, F.col("init").alias("dst"), "step", "rank")).groupBy(*key, "dst").agg(F.max("rank").alias("rank"))
-    wrapped = symbols.select("rev", F.col("id").alias("dst"), F.exists("decorators", lambda x: ~F.substring_index(x, ".", -1).isin(*TRANSPARENT)).alias("wrapped")).groupBy("rev", "dst").agg(F.bool_or("wrapped").alias("wrapped"))
-    linked = cut(won.join(uses, key).join(wrapped, ["rev", "dst"], "left"))
+    holders = live.select("file", F.col("qualname").alias("holder"), F.col("n").alias("cls"))
+    held = live.where("kind = 'method'").select("file", F.regexp_replace("qualname", r"\.[^.]+$", "").alias("holder"), last_segment(F.col("qualname")).alias("m"), F.col("n").alias("id")).join(holders, ["file", "holder"])
+    methods = cut(held.join(at, "file").select(F.col("r").alias("rev"), "cls", "m", "id"))
+    nearest = cut(hierarchy.nearest_methods(order, methods).select(F.col("rev").alias("r"), "cls", "m", "id"))
+    above, below = [x.withColumnRenamed("rev", "r") for x in (hierarchy.nearest_methods(order, methods, own=False), hierarchy.overriding_methods(order, methods))]
+
+    in_class = later.where("cls is not null").select(*use, "cls", "name")
+    to_super = in_class.where(F.startswith("name", F.lit("<super>."))).withColumn("m", F.substr("name", F.lit(9))).join(above, ["cls", "m"]).select(*key, F.col("id").alias("dst"), F.lit(3).alias("step"), F.lit(2).alias("rank"))
+    on_self = in_class.where(~F.startswith("name", F.lit("<super>."))).withColumn("m", last_segment(F.col("name")))
+    declared = cut(on_self.join(nearest, ["cls", "m"]).select(*key, "cls", "m", F.col("id").alias("dst"), F.lit(4).alias("step"), F.lit(2).alias("rank")))
+    overridden = declared.select(*key, "cls", "m").join(below, ["r", "cls", "m"]).select(*key, F.col("id").alias("dst"), F.lit(4).alias("step"), F.lit(1).alias("rank"))
+    inherited = cut(to_super.unionByName(declared.drop("cls", "m")).unionByName(overridden))
+
+    classes = means(known).join(live.where("kind = 'class'").select(F.col("n").alias("dst")), "dst", "left_semi").select(*use, "m", "k", F.col("dst").alias("cls"), F.explode("rs").alias("r"))
+    judged = classes.join(nearest.select("r", "cls", "m", F.col("id").alias("dst")), ["r", "cls", "m"])
+    sure = judged.groupBy(*key, "k").agg(F.collect_set("dst").alias("targets"), F.count(F.lit(1)).alias("hit")).where("hit = k")
+    by_receiver = cut(sure.select(*key, F.explode("targets").alias("dst"), F.lit(5).alias("step"), F.when(F.col("k") > 1, 1).otherwise(2).alias("rank")))
+
+    index = cut(live.select("file", last_segment(F.col("qualname")).alias("segment"), "n").join(at, "file").groupBy("r", "segment").agg(F.count(F.lit(1)).alias("candidates"), F.min("n").alias("only")))
+    alone = index.where("candidates = 1").select("r", "segment", F.col("only").alias("dst"))
+    segment = later.where("ref_kind = 'call'").where(~F.col("name").isin(*BUILTINS)).select(*use, last_segment(F.col("name")).alias("segment"), "rs").join(alone.select("segment").distinct(), "segment", "left_semi")
+    last = segment.select(*use, "segment", F.explode("rs").alias("r")).join(alone, ["r", "segment"]).select(*key, "dst", F.lit(6).alias("step"), F.lit(1).alias("rank"))
+
+    # ``other`` is the id of a target that is no symbol of the revision, as only further steps can name one.
+    offers = reduce(DataFrame.unionByName, [inherited, by_receiver, last]).withColumn("other", F.lit(None).cast("string"))
+    if more_steps:
+        by_rev = at.join(revs, "r").join(files.select("file", "path"), "file")
+        ids = by_rev.join(symbols.select("file", "id", "qualname", "kind", "name_binding", "n"), "file")
+        asked = by_rev.join(calls.select("file", "ordinal", "scope", "ref_kind", "name", "line", "src"), "file").select("rev", "path", "ordinal", "scope", "ref_kind", "name", "line", "src")
+        for i, step in enumerate(more_steps):
+            more = step(asked, ids.where("name_binding = 'live'").select("rev", "id", "path", "qualname", "kind")).select("rev", "path", "ordinal", F.col("dst").alias("id"), F.col("rank").cast("int").alias("rank"))
+            more = more.join(by_rev, ["rev", "path"]).join(ids.select("rev", "id", "n"), ["rev", "id"], "left").join(later.select(*use), use, "left_semi")
+            offers = offers.unionByName(more.select(*key, F.col("n").alias("dst"), F.lit(7 + i).alias("step"), "rank", F.when(F.col("n").isNull(), F.col("id")).alias("other")))
+    offers = offers.join(later.where("dotted is not null").select(*use, "name").join(hit, ["file", "name"]).select(*use, F.explode("found").alias("r")), key, "left_anti")
+    # A reference has few targets here: those of its receiver, or a method and what overrides it.
+    first = offers.withColumn("first", F.min("step").over(Window.partitionBy(*key))).where("step = first")
+    won = cut(first.groupBy(*key, "dst", "other").agg(F.max("rank").alias("rank")).groupBy(*use, "dst", "other", "rank").agg(F.collect_list("r").alias("rs")))
+
+    site = [*use, "ref_kind", "src", "path", "line"]
+    linked = means(calls).select(*site, "dst", F.lit(None).cast("string").alias("other"), F.lit(2).alias("rank"), "rs")
+    linked = cut(linked.unionByName(later.select(*site).join(broadcast_if_small(won), use).select(*site, "dst", "other", "rank", "rs")))
+    init = cut(nearest.where("m = '__init__'").groupBy(F.col("cls").alias("dst"), F.col("id").alias("init")).agg(F.collect_list("r").alias("with")))
+    built = linked.where("other is null").join(broadcast_if_small(init), "dst").select(*site, F.col("init").alias("dst"), "other", "rank", F.array_intersect("rs", "with").alias("rs")).where("size(rs) > 0")
+    parts = cut(linked.unionByName(built).groupBy(*site, "dst", "other").agg(F.collect_list(F.struct("rank", "rs")).alias("parts")))
+    single, several = parts.where("size(parts) = 1"), parts.where("size(parts) > 1").withColumn("x", F.explode("parts"))
+    several = several.select(*site, "dst", "other", "x.rank", F.explode("x.rs").alias("r")).groupBy(*site, "dst", "other", "r").agg(F.max("rank").alias("rank"))
+    ranked = single.select(*site, "dst", "other", F.col("parts")[0]["rank"].alias("rank"), F.col("parts")[0]["rs"].alias("rs")).unionByName(several.select(*site, "dst", "other", "rank", F.array("r").alias("rs")))
+    targets = symbols.select(F.col("n").alias("dst"), "id", "wrapped")
     rank = F.when((F.col("ref_kind") == "call") & F.coalesce("wrapped", F.lit(False)), F.least("rank", F.lit(1))).otherwise(F.col("rank"))
     kind = F.when(F.col("ref_kind") == "call", "CALLS").otherwise("REFERENCES")
-    shape = ["rev", "src", "dst", "kind", "confidence", F.lit("static").alias("provenance"), F.col("path").alias("callsite_path"), F.col("line").alias("callsite_line")]
-    edges = linked.withColumns({"kind": kind, "confidence": tier_name(rank)}).select(*shape)
-    parents = based.withColumns({"kind": F.lit("INHERITS"), "confidence": F.lit("HIGH")}).select(*shape)
-
-    open_ = uses.where("ref_kind = 'call'").join(linked.select(*key).distinct(), key, "left_anti").withColumns({"segment": last_segment(F.col("name")), "alias": head})
-    open_ = open_.join(index, ["rev", "segment"], "left").join(aliases, ["rev", "path", "alias"], "left")
-    reason = F.when(F.col("name").isin(*BUILTINS) | F.startswith("name", F.lit("open!")), "builtin").when(F.col("target").isNotNull(), "external").when(F.col("candidates") > 1, "ambiguous").otherwise("unknown")
+    shape = ["rev", "src", F.coalesce("other", "id").alias("dst"), "kind", "confidence", F.lit("static").alias("provenance"), F.col("path").alias("callsite_path"), F.col("line").alias("callsite_line")]
+    edges = ranked.join(targets, "dst", "left").withColumn("r", F.explode("rs")).join(revs, "r").withColumns({"kind": kind, "confidence": tier_name(rank)}).select(*shape)
+    parents = based.join(targets, "dst").withColumn("r", F.explode("rs")).join(revs, "r").withColumns({"kind": F.lit("INHERITS"), "confidence": F.lit("HIGH"), "other": F.lit(None)}).select(*shape)
+
+    done = ranked.select(*use, F.explode("rs").alias("r")).distinct()
+    open_ = uses.where("ref_kind = 'call'").withColumn("r", F.explode("rs")).join(done, key, "left_anti").withColumn("segment", last_segment(F.col("name")))
+    open_ = open_.join(index, ["r", "segment"], "left").join(revs, "r")
+    reason = F.when(F.col("name").isin(*BUILTINS) | F.startswith("name", F.lit("open!")), "builtin").when(F.col("dotted").isNotNull(), "external").when(F.col("candidates") > 1, "ambiguous").otherwise("unknown")
     return edges.unionByName(parents), open_.select("rev", "src", "path", "line", F.col("name").alias("raw_name"), "ref_kind", reason.alias("reason"), F.when(reason == "ambiguous", F.col("candidates")).otherwise(0).alias("candidates"))

@@ -604,7 +604,7 @@ def preorder(spark, d):
 
 
 def _parsed(spark, d):
-    return cut(python_source.parse_texts(_t(spark, d, "blob_texts").select(plain_sha(F.col("blob_sha")).alias("blob_sha"), "content")))
+    return cut(python_source.parse_texts(_t(spark, d, "blob_texts").select(plain_sha(F.col("blob_sha")).alias("blob_sha"), "content"), hashes=False))
 
 
 def parse_definitions(spark, d):

@@ -216,3 +216,17 @@ def test_definitions_agree_with_the_delivered_ones(spark, data_dir):
     assert len(same) >= 0.995 * len(got.keys() | delivered.keys()) > 300
     ends = [k for k in same if got[k] is not None]
     assert sum(got[k] == delivered[k] for k in ends) >= 0.995 * len(ends) > 200
+
+
+def test_what_a_name_means_may_differ_by_revision_and_the_plans_stay_small(spark, monkeypatch):
+    app = "from lib import f, K\n\ndef f():\n    pass\n\ndef use():\n    f()\n    K()\n    g()\n"
+    texts = {"app": app, "one": "class K:\n    def __init__(self):\n        pass\n\ndef f():\n    pass\n\ndef g():\n    pass\n", "two": "class K:\n    pass\n"}
+    parsed = python_source.parse_texts(spark.createDataFrame(list(texts.items()), "blob_sha string, content string"), hashes=False)
+    parts = [python_source.relation(parsed, x) for x in ("nodes", "refs", "imports", "bindings")]
+    tree = spark.createDataFrame([("r1", "app.py", "app"), ("r1", "lib.py", "one"), ("r2", "app.py", "app"), ("r2", "lib.py", "two")], "rev string, path string, blob_sha string")
+    joins, cut = [], imports.cut
+    monkeypatch.setattr(imports, "cut", lambda df: joins.append(df._jdf.queryExecution().analyzed().toString().count("Join ")) or cut(df))
+    edges, unresolved = imports.resolve_parsed(tree, *parts)
+    assert max(joins) < 16  # the driver holds each plan
+    assert {(r.rev, r.dst, r.confidence) for r in edges.collect() if r.kind == "CALLS"} == {("r1", "lib.py::f", "HIGH"), ("r2", "app.py::f", "HIGH"), ("r1", "lib.py::K", "HIGH"), ("r1", "lib.py::K.__init__", "HIGH"), ("r2", "lib.py::K", "HIGH"), ("r1", "lib.py::g", "MEDIUM")}
+    assert {(r.rev, r.raw_name, r.reason) for r in unresolved.collect()} == {("r2", "g", "unknown")}
