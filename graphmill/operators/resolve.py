@@ -221,8 +221,9 @@ def containing_classes(symbols: DataFrame, required: DataFrame, order: DataFrame
     """Relational division: classes that have all methods of a protocol without descending from it.
 
     Methods count along the ancestors, for the class and for the protocol. Protocols without methods, other protocols and heirs
-    of the protocol have no rows. Each protocol is looked up by its rarest method only, and the rest of its
-    methods checked on the candidates' sets, so popular method names make no pairs.
+    of the protocol have no rows. Each protocol is looked up by its rarest method only. Pairs are more than both sides, so all that
+    decides about one travels with its sides, and nothing is shuffled or written after the join: first masks of 64 bits are compared, then the
+    names themselves, then the ancestors.
 
     :param symbols: ``rev``, ``id``, ``path``, ``qualname``, ``kind``
     :param required: ``rev``, ``protocol`` (the id of a class)
@@ -235,10 +236,15 @@ def containing_classes(symbols: DataFrame, required: DataFrame, order: DataFrame
         methods = methods.unionByName(above.join(methods, ["rev", "id"]).select("rev", F.col("heir").alias("id"), "m")).distinct()
     methods = cut(methods)
     protocols = required.select("rev", "protocol").distinct()
-    sets = methods.groupBy("rev", "id").agg(F.collect_set("m").alias("has"))
+    mask = F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(m), 64L) AS int)))").alias("mask")
+    sets = methods.join(protocols.withColumnRenamed("protocol", "id"), ["rev", "id"], "left_anti").groupBy("rev", "id").agg(F.collect_set("m").alias("has"), mask)
     frequency = methods.groupBy("rev", "m").agg(F.count(F.lit(1)).alias("n"))
-    needs = methods.join(protocols.withColumnRenamed("protocol", "id"), ["rev", "id"], "left_semi").join(frequency, ["rev", "m"]).groupBy("rev", F.col("id").alias("protocol")).agg(F.collect_set("m").alias("needs"), F.min_by("m", F.struct("n", "m")).alias("m"))
-    candidates = methods.join(needs, ["rev", "m"]).select("rev", "protocol", "needs", "id").join(protocols.withColumnRenamed("protocol", "id"), ["rev", "id"], "left_anti")
-    if order is not None:
-        candidates = candidates.join(order.select("rev", F.col("cls").alias("id"), F.col("anc").alias("protocol")), ["rev", "id", "protocol"], "left_anti")
-    return candidates.join(sets, ["rev", "id"]).where(F.size(F.array_except("needs", "has")) == 0).select("rev", "protocol", "id")
+    needs = cut(methods.join(protocols.withColumnRenamed("protocol", "id"), ["rev", "id"], "left_semi").join(frequency, ["rev", "m"]).groupBy("rev", F.col("id").alias("protocol")).agg(F.collect_set("m").alias("needs"), mask.alias("need"), F.min_by("m", F.struct("n", "m")).alias("m")))
+    if order is None:
+        sets = sets.withColumn("ancestors", F.lit(None).cast("array<string>"))
+    else:
+        sets = sets.join(above.groupBy("rev", F.col("heir").alias("id")).agg(F.collect_list(above["id"]).alias("ancestors")), ["rev", "id"], "left")
+    asked = needs.select("rev", "m").distinct()
+    offered = sets.withColumn("m", F.explode("has")).join(asked, ["rev", "m"], "left_semi")
+    holds = (F.col("mask").bitwiseAND(F.col("need")) == F.col("need")) & F.forall("needs", lambda x: F.array_contains("has", x))
+    return needs.join(offered, ["rev", "m"]).where(holds & ~F.coalesce(F.array_contains("ancestors", F.col("protocol")), F.lit(False))).select("rev", "protocol", "id")

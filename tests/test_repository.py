@@ -115,6 +115,17 @@ def test_division_along_ancestors(spark):
     assert got == {("P", "Has"), ("Q", "Base"), ("Q", "Has")}
 
 
+def test_pairs_of_the_division_are_decided_where_they_are_joined(spark):
+    rows = [("r", f"p.py::{c}.{m}", "p.py", f"{c}.{m}", "method") for c, ms in {"P": "ab", "Both": "abc", "One": "a", "Q": "c", "Heir": "ab"}.items() for m in ms]
+    symbols = spark.createDataFrame(rows, "rev string, id string, path string, qualname string, kind string")
+    required = spark.createDataFrame([("r", "p.py::P"), ("r", "p.py::Q")], "rev string, protocol string")
+    order = spark.createDataFrame([("r", "p.py::Heir", "p.py::P", 1)], "rev string, cls string, anc string, depth int")
+    found = resolve.containing_classes(symbols, required, order)
+    assert {(r.protocol[6:], r.id[6:]) for r in found.collect()} == {("P", "Both"), ("Q", "Both")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert "forall" in next(x for x in plan if "Join" in x)  # nothing is joined, thus shuffled, after the pairs
+
+
 def test_labels_sessions_and_further_steps(spark):
     made = spark.createDataFrame([("a", '{"summary": {"symbol": "p.py::f"}, "groups": []}'), ("b", '{"summary": {}, "groups": [{"title": "x"}, {"title": "y"}]}'), ("c", "{}")], "report string, json string")
     assert {r.report: r.label for r in report.report_label(made).collect()} == {"a": "p.py::f", "b": "x, y", "c": None}
