@@ -31,6 +31,10 @@ class Ambiguity:
     names: DataFrame
     refs: DataFrame
 
+    def reversed(self) -> Ambiguity:
+        """For walks against the links."""
+        return Ambiguity(self.refs.withColumnRenamed("src", "id"), self.names.withColumnRenamed("id", "src"))
+
 
 def links_only(edges: DataFrame) -> DataFrame:
     """Rows with a revision, a source, and a target."""

@@ -417,13 +417,13 @@ def path_negative(spark, d):
     key = ["rev", "start", "goal"]
 
     def shorter(links, ends, name, ambiguity=None):
-        one_way = graph.distances(links, _both_ways(ends), ambiguity)
-        back = one_way.select("rev", F.col("goal").alias("start"), F.col("start").alias("goal"), "hops")
-        return cut(one_way.unionByName(back).groupBy(*key).agg(F.min("hops").alias(name)).join(ends, key, "left_semi"))
+        # Both walks begin at the few starts; from a goal to its start is from the start against the links.
+        back = graph.distances(links.select("rev", F.col("dst").alias("src"), F.col("src").alias("dst"), "confidence", "provenance"), ends, ambiguity and ambiguity.reversed())
+        return cut(graph.distances(links, ends, ambiguity).unionByName(back).groupBy(*key).agg(F.min("hops").alias(name)))
 
     sure = shorter(_strong(edges), ends, "needed")
     x = ends.join(sure, key, "left").where("needed is null or needed > 2")
-    weak = shorter(edges, x.where("needed is null").select(*key), "with_weak", open_)
+    weak = shorter(graph.links_only(edges), x.where("needed is null").select(*key), "with_weak", open_)
     islands = cut(graph.connected(edges))
     x = x.join(weak, key, "left")
     for end in ("start", "goal"):

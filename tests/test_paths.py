@@ -55,3 +55,14 @@ def test_long_backward_and_weak_ways(spark, tmp_path, data_dir):
         assert ((start, goal) in got) == (near is None or near > 2)
     paths = {(r.start, r.goal): r.hops for r in symbol_graph.shortest_path(spark, str(tmp_path)).collect()}
     assert paths["a1", "wide"] == 3 and paths["wide", "b3"] == 4 and ("wide", "a1") not in paths
+
+
+def test_walks_begin_at_the_starts_alone(spark, tmp_path, data_dir, monkeypatch):
+    links = [link(f"c{i:02}", f"c{i + 1:02}") for i in range(4)] + [link(f"k{i}", f"t{i}") for i in range(9)] + [link("c00", "k0"), link("k1", "c00", "LOW")]
+    spark.createDataFrame(links, EDGE).write.parquet(str(tmp_path / "edges.parquet"))
+    for name in ("tree", "blob_nodes", "blob_refs", "blobs"):
+        spark.read.parquet(f"{data_dir}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    begun, distances = [], graph.distances
+    monkeypatch.setattr(graph, "distances", lambda links, ends, ambiguity=None: begun.append(ends.select("start").distinct().count()) or distances(links, ends, ambiguity))
+    symbol_graph.path_negative(spark, str(tmp_path)).collect()
+    assert begun and max(begun) <= 2
